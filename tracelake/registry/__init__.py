@@ -1,6 +1,12 @@
 """Named queries over the driver tables."""
 
-from tracelake.registry import evidence_queries, graph_queries, retrieval_queries, sequence_queries  # noqa: F401
+from tracelake.registry import (  # noqa: F401
+    evidence_queries,
+    graph_queries,
+    retrieval_queries,
+    sequence_queries,
+    split_queries,
+)
 from tracelake.registry.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
