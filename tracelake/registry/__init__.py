@@ -2,6 +2,7 @@
 
 from tracelake.registry import (  # noqa: F401
     evidence_queries,
+    fit_queries,
     graph_queries,
     retrieval_queries,
     sequence_queries,

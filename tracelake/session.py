@@ -58,6 +58,11 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tracelake-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path below this application's scratch folder."""
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -65,7 +70,7 @@ def materialise(df: DataFrame) -> DataFrame:
     could change (ids given by partition).  The copy survives lost executors.
     """
     spark = df.sparkSession
-    path = f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
