@@ -1,10 +1,12 @@
 """Named queries over the driver tables."""
 
 from tracelake.registry import (  # noqa: F401
+    context_queries,
     evidence_queries,
     fit_queries,
     graph_queries,
     retrieval_queries,
+    source_queries,
     sequence_queries,
     split_queries,
 )
