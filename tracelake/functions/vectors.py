@@ -97,3 +97,10 @@ def irf(theta: Column, a: Column, b: Column, c: Column | float = 0.0, scale: flo
 def mirf(theta: Column, a: Column, b: Column) -> Column:
     """Multidimensional two-parameter item response over array columns."""
     return 1 / (1 + F.exp(-dot(a, theta) + b))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of arrays already free of repeats: one set operation instead of two."""
+    return let(
+        F.size(F.array_intersect(a, b)), lambda both: F.when(both > 0, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    )

@@ -85,8 +85,14 @@ def two_level_clusters(vectors: DataFrame, k1: int = MACRO_K, k2: int = MICRO_K,
 
 
 def cluster_tokens(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, token, count) of clean tokens."""
-    return texts.select(*keys, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("count"))
+    """(keys, token, count) of clean tokens longer than one character.
+
+    Raw tokens are counted first, so the noise rules run once per distinct
+    token of a cluster instead of once per occurrence.
+    """
+    raw = texts.select(*keys, F.explode(X.raw_tokens(F.col(text))).alias("_raw")).groupBy(*keys, "_raw").agg(F.count(F.lit(1)).alias("_n"))
+    clean = raw.withColumn("token", X.clean_token(F.col("_raw"))).filter(F.length("token") > 1)
+    return clean.groupBy(*keys, "token").agg(F.sum("_n").alias("count"))
 
 
 def frequency_labels(tokens: DataFrame, keys: list[str], words: int, vocabulary: int = FREQUENCY_VOCABULARY) -> DataFrame:

@@ -48,7 +48,7 @@ def neighbor_lists(neighbors: DataFrame) -> DataFrame:
 
 def with_profile(rows: DataFrame, catalog: DataFrame, neighbors: DataFrame) -> DataFrame:
     """Adds concepts, level and neighbour list of each log's problem; unknown problems drop out."""
-    profile = catalog.select("problem_id", "concepts", "level").join(neighbor_lists(neighbors), "problem_id", "left")
+    profile = catalog.select("problem_id", F.array_distinct("concepts").alias("concepts"), "level").join(neighbor_lists(neighbors), "problem_id", "left")
     return rows.join(profile, "problem_id")
 
 
@@ -75,11 +75,15 @@ def heuristic(rows: DataFrame, k: int = TOP_K, horizon: int = HORIZON, **flags:
     """
     # The set overlap is computed inside the array, once per pair; as a plain
     # column it would be repeated by every filter pushed through it.
-    items = F.transform("history", lambda h: h.withField("overlap", V.jaccard(h["concepts"], F.col("concepts"))).dropFields("concepts"))
+    light = [c for c in _H if c != "concepts"]
+    items = F.transform(
+        "history",
+        lambda h: F.struct(*[h[c].alias(c) for c in light], V.set_jaccard(h["concepts"], F.col("concepts")).alias("overlap")),
+    )
     pairs = history(rows, horizon, list(_H)).select(
         "user_id", "block", "pos", "problem_id", "level", "neighbors", F.explode(items).alias("_h")
     )
-    pairs = pairs.select("*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in _H if c != "concepts"], "_h.overlap").drop("_h")
+    pairs = pairs.select("*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in light], "_h.overlap").drop("_h")
     near = _top(_scored(pairs, **flags), ["user_id", "block", "pos"], k).select(
         "user_id", "pos", "problem_id", "rank", "h_pos", "h_problem_id", "h_is_correct", "score"
     )
@@ -96,7 +100,7 @@ def heuristic(rows: DataFrame, k: int = TOP_K, horizon: int = HORIZON, **flags:
     deep_pairs = targets.join(old, ["user_id", "_b"]).filter(
         (F.col("h_pos") < F.col("pos")) & (F.col("h_pos") >= F.col("pos") - REACH)
     )
-    deep_pairs = deep_pairs.withColumn("overlap", V.jaccard(F.col("h_concepts"), F.col("concepts")))
+    deep_pairs = deep_pairs.withColumn("overlap", V.set_jaccard(F.col("h_concepts"), F.col("concepts")))
     deep = _top(_scored(deep_pairs, **flags), ["user_id", "pos"], k).select(*near.columns)
     return near.join(open_targets.select("user_id", "pos"), ["user_id", "pos"], "left_anti").unionByName(deep)
 
@@ -109,7 +113,7 @@ def heuristic_for_targets(rows: DataFrame, targets: DataFrame, k: int = TOP_K, *
     chosen = rows.join(targets.select("user_id", "pos"), ["user_id", "pos"], "left_semi")
     old = rows.select("user_id", *[F.col(c).alias(f"h_{c}") for c in _H])
     pairs = old.join(chosen, "user_id").filter(F.col("h_pos") < F.col("pos"))
-    pairs = pairs.withColumn("overlap", V.jaccard(F.col("h_concepts"), F.col("concepts")))
+    pairs = pairs.withColumn("overlap", V.set_jaccard(F.col("h_concepts"), F.col("concepts")))
     return _top(_scored(pairs, **flags), ["user_id", "pos"], k).select(
         "user_id", "pos", "problem_id", "rank", "h_pos", "h_problem_id", "h_is_correct", "score"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import vectors as V
+from tracelake.operators.similarity import add_band
 from tracelake.plans.frames import history, history_rows, look_back, with_blocks
 from tracelake.plans.ranks import positions
 
@@ -104,17 +105,20 @@ TARGET = ["user_id", "block", "pos"]
 def similarity_band(rows: DataFrame, n: int = HISTORY_WINDOW, cols: Sequence[str] = ("pos", "is_correct", "level"), keep_vectors: bool = False) -> DataFrame:
     """Adds ``history`` (last ``n`` logs) and ``band`` (similarity to each of them), oldest first.
 
-    ``rows`` carry unit vectors in ``vec``.  ``keep_vectors`` leaves the history
-    vectors in ``h_vecs``.  One shuffle; all later steps work inside the arrays.
+    ``rows`` carry unit vectors in ``vec``.  ``keep_vectors`` keeps ``vec`` and
+    leaves the history vectors in ``h_vecs``.
     """
-    out = look_back(rows, {"h_vecs": (F.collect_list("vec"), n), "history": (F.collect_list(F.struct(*cols)), n)})
-    out = out.withColumn("band", F.transform("h_vecs", lambda v: V.dot(v, F.col("vec"))))
-    return out if keep_vectors else out.drop("h_vecs")
+    banded = add_band(rows, n, keep_vec=keep_vectors)
+    frame = Window.partitionBy("user_id", "block").orderBy("pos").rowsBetween(-n, -1)
+    out = banded.withColumn("history", F.collect_list(F.struct(*cols)).over(frame))
+    if keep_vectors:
+        out = out.withColumn("h_vecs", F.collect_list("vec").over(frame))
+    return out.filter(~F.col("lead")).drop("lead")
 
 
 def history_similarity(rows: DataFrame, n: int = HISTORY_WINDOW, cols: Sequence[str] = ("pos", "is_correct", "level")) -> DataFrame:
     """Long history rows with ``cos``, the similarity to the target."""
-    banded = similarity_band(rows, n, cols).drop("vec")
+    banded = similarity_band(rows, n, cols)
     zipped = F.zip_with("history", "band", lambda h, b: h.withField("cos", b))
     long = banded.withColumn("_h", F.explode(zipped)).drop("history", "band")
     return long.select("*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in cols], "_h.cos").drop("_h")
