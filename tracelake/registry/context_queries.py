@@ -13,7 +13,8 @@ from tracelake.operators import text_vectors as E
 from tracelake.registry.base import CATALOG, INTER, VECS, query
 from tracelake.registry.evidence_queries import RECORDS, SELECTED, SUMMARY, contexts
 from tracelake.registry.graph_queries import HOPS, PAIRS, stat_edges
-from tracelake.registry.retrieval_queries import _LAST, _heuristic_sql, item_neighbors, profiled
+from tracelake.registry.retrieval_queries import _LAST, _heuristic_sql, profiled, stored_neighbors
+from tracelake.session import materialise
 from tracelake.sources import driver_tables as D
 
 
@@ -45,11 +46,12 @@ leg AS (SELECT *, u * exp(-0.05 * dist) AS score, row_number() OVER (PARTITION B
 
 def legacy_profile(spark, sf):
     vectors = D.item_vectors(spark, sf)
-    return L.legacy_profile(D.catalog(spark, sf), vectors, stat_edges(spark, sf), vectors)
+    return materialise(L.legacy_profile(D.catalog(spark, sf), vectors, stat_edges(spark, sf), vectors))
 
 
-def legacy_scored(spark, sf):
-    rows = D.interactions(spark, sf).select("user_id", "pos", "problem_id", "is_correct").join(legacy_profile(spark, sf), "problem_id")
+def legacy_scored(spark, sf, profile=None):
+    profile = legacy_profile(spark, sf) if profile is None else profile
+    rows = D.interactions(spark, sf).select("user_id", "pos", "problem_id", "is_correct").join(profile, "problem_id")
     return L.stage1(rows.withColumn("mastery", S.mastery(F.col("is_correct"), F.lit(0.5))))
 
 
@@ -63,7 +65,8 @@ def legacy_stage1(spark, sf):
 
 
 def legacy_selected(spark, sf):
-    return L.select(legacy_scored(spark, sf), legacy_profile(spark, sf), L.node_sets(D.catalog(spark, sf), stat_edges(spark, sf)))
+    profile = legacy_profile(spark, sf)
+    return L.select(legacy_scored(spark, sf, profile), profile, L.node_sets(D.catalog(spark, sf), stat_edges(spark, sf)))
 
 
 @query(
@@ -81,7 +84,7 @@ def labels(spark, sf):
 
 
 def cards(spark, sf, unknown=C.UNKNOWN_LABEL):
-    return C.problem_cards(D.catalog(spark, sf), labels(spark, sf), item_neighbors(spark, sf), unknown)
+    return C.problem_cards(D.catalog(spark, sf), labels(spark, sf), stored_neighbors(spark, sf), unknown)
 
 
 @query("legacy_contexts")
@@ -163,7 +166,7 @@ def template_contexts(spark, sf):
 def _labelled_contexts(spark, sf):
     ctx = contexts(spark, sf)
     lab = labels(spark, sf).select(F.col("problem_id").alias("target_pid"), F.col("semantic_id").alias("target_semantic_id"))
-    return ctx.join(lab, "target_pid")
+    return materialise(ctx.join(lab, "target_pid"))
 
 
 def rule_summariser(df):

@@ -8,6 +8,7 @@ from tracelake.operators import cooccur as C
 from tracelake.operators import retrieve as R
 from tracelake.operators import sequences as S
 from tracelake.registry.base import CATALOG, INTER, query
+from tracelake.session import materialise
 from tracelake.sources import driver_tables as D
 
 
@@ -48,9 +49,14 @@ def item_neighbors(spark, sf):
     return C.item_neighbors(D.logs(spark, sf), D.LOG_ORDER)
 
 
+def stored_neighbors(spark, sf):
+    """Neighbour lists as a written table: catalog-sized, computed once, read by every later join."""
+    return materialise(item_neighbors(spark, sf))
+
+
 def profiled(spark, sf):
     rows = D.interactions(spark, sf).select("user_id", "pos", "problem_id", "is_correct")
-    return R.with_profile(rows, D.catalog(spark, sf), item_neighbors(spark, sf))
+    return R.with_profile(rows, D.catalog(spark, sf), stored_neighbors(spark, sf))
 
 
 @query("history_retrieval_topk", _heuristic_sql("SELECT * FROM inter"))
