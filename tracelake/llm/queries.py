@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, mixing, shards, simhash
+from tracelake.llm import bpe, language, mixing, quality, search, shards, simhash
 from tracelake.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -89,3 +90,31 @@ def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec.of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(table(spark, sf_dir, "documents"), codec, ["doc_id"])
+
+
+_NEAREST_SQL = """
+WITH vecs AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+@query("op2_rotated_code_search", _NEAREST_SQL)
+def rotated_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op3_risk_controlled_quality")
+def risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_language_filters")
+def language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(table(spark, sf_dir, "documents"))
