@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, language, mixing, quality, search, shards, simhash
+from tracelake.llm import bpe, hosts, language, lines, mixing, quality, search, shards, simhash
 from tracelake.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -118,3 +118,89 @@ def risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_filters")
 def language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(table(spark, sf_dir, "documents"))
+
+
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+_POSTERIOR = """
+  SELECT *, (1 - spread) / spread AS strength, (strength * prior + y) / (strength + n) AS mean,
+         sqrt(mean * (1 - mean) / (strength + n + 1)) AS deviation
+  FROM {0}, (SELECT least(greatest(coalesce((sum(n * pow(y / n - prior, 2) / (prior * (1 - prior))) FILTER (n > 0) - count(*) FILTER (n > 0))
+                                            / nullif(sum(n - 1) FILTER (n > 0), 0), 0.001), 0.001), 0.5) AS spread FROM {0})"""
+_HOST_SQL = f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END AS r FROM pages),
+split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+outcomes AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS y, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+  FROM split LEFT JOIN outcomes ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) GROUP BY host),
+hosts AS (
+  SELECT host, n, y, parts[-1] AS suffix, array_to_string(parts[greatest(1, len(parts) - 1):], '.') AS domain FROM counts),
+suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (coalesce(sum(y), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+suffix_post AS ({_POSTERIOR.format("suffixes")}),
+domains AS (
+  SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.y) AS y, any_value(p.mean) AS prior
+  FROM hosts h JOIN suffix_post p ON h.suffix = p.suffix GROUP BY h.domain, h.suffix),
+domain_post AS ({_POSTERIOR.format("domains")}),
+placed AS (SELECT h.host, h.n, h.y, p.mean AS prior FROM hosts h JOIN domain_post p ON h.domain = p.domain AND h.suffix = p.suffix),
+host_post AS ({_POSTERIOR.format("placed")}),
+rules AS (
+  SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}) AS t(verdict, rule_host, rule_path)),
+fits AS (
+  SELECT s.page_id, r.rule_host || r.rule_path AS rule, r.verdict FROM split s
+  JOIN rules r ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path)
+  QUALIFY row_number() OVER (PARTITION BY s.page_id ORDER BY len(r.rule_host || r.rule_path) DESC) = 1)
+SELECT s.page_id, s.host, s.path, f.rule,
+       coalesce(f.verdict, CASE WHEN p.mean - 1.645 * p.deviation > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       p.mean AS bad_rate, p.mean - 1.645 * p.deviation AS bad_bound
+FROM split s JOIN host_post p ON s.host = p.host LEFT JOIN fits f ON s.page_id = f.page_id"""
+
+
+@query("op9_host_reputation", _HOST_SQL)
+def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
+_LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, pos, list_transform(regexp_extract_all(lines[pos], '[^\x20\x09-\x0D]+'),
+                                     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM docs, unnest(range(1, len(lines) + 1)) AS u(pos)),
+long_lines AS (SELECT *, (len(tokens), tokens[1:3]) AS leaf FROM lines WHERE len(tokens) >= 5),
+kinds AS (SELECT leaf, tokens, min(doc_id) AS first, max(doc_id) AS last FROM long_lines GROUP BY leaf, tokens),
+each AS (SELECT k.*, place, tokens[place] AS token FROM kinds k, unnest(range(1, len(tokens) + 1)) AS u(place)),
+constant AS (
+  SELECT leaf, place, token FROM each WHERE place > 3 AND token <> '<*>' GROUP BY leaf, place, token HAVING min(first) < max(last)),
+formed AS (
+  SELECT e.leaf, e.tokens, e.first, e.last,
+         coalesce(list((e.place, e.token) ORDER BY e.place) FILTER (c.token IS NOT NULL OR (e.place <= 3 AND e.token <> '<*>')), []) AS form
+  FROM each e LEFT JOIN constant c ON e.leaf = c.leaf AND e.place = c.place AND e.token = c.token
+  GROUP BY e.leaf, e.tokens, e.first, e.last),
+recurring AS (
+  SELECT leaf, form, min(first) AS first FROM formed WHERE len(form) >= 0.6 * len(tokens)
+  GROUP BY leaf, form HAVING min(first) < max(last)),
+drops AS (
+  SELECT l.doc_id, list(l.pos) AS gone FROM long_lines l
+  JOIN formed f ON l.tokens = f.tokens JOIN recurring r ON f.leaf = r.leaf AND f.form = r.form
+  WHERE len(f.form) >= 0.6 * len(f.tokens) AND l.doc_id > r.first GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN gone IS NULL THEN text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)), '') END AS text
+FROM docs d LEFT JOIN drops x ON d.doc_id = x.doc_id"""
+
+
+@query("op5_line_templates", _LINES_SQL)
+def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
