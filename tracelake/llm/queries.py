@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, hosts, language, lines, mixing, quality, search, shards, simhash
+from tracelake.llm import bpe, hosts, language, lines, mixing, quality, search, shards, simhash, wrappers
 from tracelake.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -204,3 +204,8 @@ FROM docs d LEFT JOIN drops x ON d.doc_id = x.doc_id"""
 @query("op5_line_templates", _LINES_SQL)
 def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_wrapper_text")
+def wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
