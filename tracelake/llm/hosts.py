@@ -1,9 +1,10 @@
 """URL filters: rules by host and path, and an empirical-Bayes reputation of hosts for all other pages.
 
 The labelled outcomes of a host's pages (poor or toxic, or neither) are shrunk through beta-binomial priors: all pages
-give the prior mean of a suffix, a suffix's posterior mean is the prior mean of its registered domains, a domain's that
-of its hosts.  The strength of the prior of a level is fitted by moments from the spread of its members' rates around
-their priors.  A host is blocked if a lower bound of its posterior bad rate is over ``MOST_BAD``.
+give the prior of a suffix, a suffix's posterior is the prior of its registered domains, a domain's that of its hosts,
+each time without the member's own outcomes.  The strength of a level's priors is fitted by moments from the spread of
+its members' rates around their priors, and is never more than the outcomes that a prior rests on.  A host is blocked if
+a lower bound of its posterior bad rate is over ``MOST_BAD``.
 
 All of it is DataFrame work; outcomes are pre-aggregated by host, and later levels see one row per host at most.
 
@@ -57,34 +58,45 @@ def with_levels(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"suffix": F.when(two, last(2)).otherwise(last(1)), "domain": F.when(two, last(3)).otherwise(last(2))})
 
 
-def _posterior(members: DataFrame) -> DataFrame:
-    """Adds ``mean`` and ``deviation`` of members with ``n`` outcomes, ``y`` bad ones and ``prior`` mean.
+def _fitted(members: DataFrame) -> DataFrame:
+    """Adds ``strength``, what the prior of a member counts for, to members with ``n`` outcomes, ``y`` bad ones, and a
+    ``prior`` mean that rests on ``worth`` outcomes.
 
-    The fitted spread is (sum of n (rate - prior)^2 / (prior (1 - prior)) - members) / sum of (n - 1).
+    The level's spread is (sum of n (rate - prior)^2 / (prior (1 - prior)) - members) / sum of (n - 1); the strength that
+    follows from it is no more than ``worth``.
     """
     p = F.col("prior")
     seen = members.filter(F.col("n") > 0)
     excess = F.sum(F.col("n") * F.pow(F.col("y") / F.col("n") - p, 2) / (p * (1 - p))) - F.count(F.lit(1))
     spread = F.coalesce(excess / F.nullif(F.sum(F.col("n") - 1), F.lit(0)), F.lit(LEAST_SPREAD))
     spread = F.least(F.greatest(spread, F.lit(LEAST_SPREAD)), F.lit(MOST_SPREAD))
-    strength = seen.agg(((1 - spread) / spread).alias("strength"))
-    a, b = F.col("strength") * p + F.col("y"), F.col("strength") * (1 - p) + F.col("n") - F.col("y")
-    mean = a / (a + b)
-    return members.crossJoin(F.broadcast(strength)).withColumns({"mean": mean, "deviation": F.sqrt(mean * (1 - mean) / (a + b + 1))}).drop("strength")  # one row
+    fitted = seen.agg(((1 - spread) / spread).alias("fitted"))
+    return members.crossJoin(F.broadcast(fitted)).withColumn("strength", F.least("fitted", "worth")).drop("fitted")  # one row
+
+
+def _below(members: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``prior`` and ``worth`` of members from their parents: the parent's own prior and what its other members show."""
+    above = parents.select(*keys, F.col("n").alias("_n"), F.col("y").alias("_y"), F.col("prior").alias("_prior"), F.col("strength").alias("_strength"))
+    worth = F.col("_strength") + F.col("_n") - F.col("n")
+    prior = (F.col("_strength") * F.col("_prior") + F.col("_y") - F.col("y")) / worth
+    return members.join(above, keys).withColumns({"worth": worth, "prior": prior}).drop("_n", "_y", "_prior", "_strength")
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """``host``, ``n``, ``bad_rate`` and ``bad_bound`` of every host of ``outcomes`` (host, bad: boolean or null)."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("y"))
     hosts = materialise(with_levels(counts))
-    total = F.sum("n"), F.sum("y")
-    everything = hosts.agg(total[0].alias("n"), total[1].alias("y")).select(((F.coalesce("y", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("prior"))
-    suffixes = hosts.groupBy("suffix").agg(total[0].alias("n"), total[1].alias("y")).crossJoin(F.broadcast(everything))  # one row
-    suffixes = _posterior(suffixes).select("suffix", F.col("mean").alias("prior"))
-    domains = hosts.groupBy("domain", "suffix").agg(total[0].alias("n"), total[1].alias("y")).join(suffixes, "suffix")
-    domains = _posterior(domains).select("domain", "suffix", F.col("mean").alias("prior"))
-    judged = _posterior(hosts.join(domains, ["domain", "suffix"]))
-    return judged.select("host", "n", F.col("mean").alias("bad_rate"), (F.col("mean") - DEVIATIONS * F.col("deviation")).alias("bad_bound"))
+    both = F.sum("n").alias("n"), F.sum("y").alias("y")
+    everything = hosts.agg(*both).select(F.coalesce("n", F.lit(0)).alias("_n"), F.coalesce("y", F.lit(0)).alias("_y"))
+    others = F.col("_n") - F.col("n") + 2
+    suffixes = hosts.groupBy("suffix").agg(*both).crossJoin(F.broadcast(everything))  # one row
+    suffixes = _fitted(suffixes.withColumns({"worth": others.cast("double"), "prior": (F.col("_y") - F.col("y") + 1) / others}))
+    domains = _fitted(_below(hosts.groupBy("domain", "suffix").agg(*both), suffixes, ["suffix"]))
+    judged = _fitted(_below(hosts, domains, ["domain", "suffix"]))
+    total = F.col("strength") + F.col("n")
+    rate = (F.col("strength") * F.col("prior") + F.col("y")) / total
+    deviation = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (total + 1))
+    return judged.withColumn("bad_rate", rate).select("host", "n", "bad_rate", (F.col("bad_rate") - DEVIATIONS * deviation).alias("bad_bound"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -128,9 +128,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-_POSTERIOR = """
-  SELECT *, (1 - spread) / spread AS strength, (strength * prior + y) / (strength + n) AS mean,
-         sqrt(mean * (1 - mean) / (strength + n + 1)) AS deviation
+_FITTED = """
+  SELECT *, least((1 - spread) / spread, worth) AS strength
   FROM {0}, (SELECT least(greatest(coalesce((sum(n * pow(y / n - prior, 2) / (prior * (1 - prior))) FILTER (n > 0) - count(*) FILTER (n > 0))
                                             / nullif(sum(n - 1) FILTER (n > 0), 0), 0.001), 0.001), 0.5) AS spread FROM {0})"""
 _HOST_SQL = f"""
@@ -146,15 +145,22 @@ counts AS (
   FROM split LEFT JOIN outcomes ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) GROUP BY host),
 hosts AS (
   SELECT host, n, y, parts[-1] AS suffix, array_to_string(parts[greatest(1, len(parts) - 1):], '.') AS domain FROM counts),
+suffix_sums AS (SELECT suffix, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY suffix),
 suffixes AS (
-  SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (coalesce(sum(y), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS prior FROM hosts GROUP BY suffix),
-suffix_post AS ({_POSTERIOR.format("suffixes")}),
+  SELECT s.*, t.n - s.n + 2.0::DOUBLE AS worth, (t.y - s.y + 1) / (t.n - s.n + 2) AS prior
+  FROM suffix_sums s, (SELECT sum(n) AS n, sum(y) AS y FROM hosts) t),
+suffix_fit AS ({_FITTED.format("suffixes")}),
+domain_sums AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY domain, suffix),
 domains AS (
-  SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.y) AS y, any_value(p.mean) AS prior
-  FROM hosts h JOIN suffix_post p ON h.suffix = p.suffix GROUP BY h.domain, h.suffix),
-domain_post AS ({_POSTERIOR.format("domains")}),
-placed AS (SELECT h.host, h.n, h.y, p.mean AS prior FROM hosts h JOIN domain_post p ON h.domain = p.domain AND h.suffix = p.suffix),
-host_post AS ({_POSTERIOR.format("placed")}),
+  SELECT d.*, p.strength + p.n - d.n AS worth, (p.strength * p.prior + p.y - d.y) / (p.strength + p.n - d.n) AS prior
+  FROM domain_sums d JOIN suffix_fit p ON d.suffix = p.suffix),
+domain_fit AS ({_FITTED.format("domains")}),
+placed AS (
+  SELECT h.host, h.n, h.y, p.strength + p.n - h.n AS worth, (p.strength * p.prior + p.y - h.y) / (p.strength + p.n - h.n) AS prior
+  FROM hosts h JOIN domain_fit p ON h.domain = p.domain AND h.suffix = p.suffix),
+host_post AS (
+  SELECT host, (strength * prior + y) / (strength + n) AS mean, sqrt(mean * (1 - mean) / (strength + n + 1)) AS deviation
+  FROM ({_FITTED.format("placed")})),
 rules AS (
   SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}) AS t(verdict, rule_host, rule_path)),
 fits AS (
@@ -189,12 +195,12 @@ formed AS (
   FROM each e LEFT JOIN constant c ON e.leaf = c.leaf AND e.place = c.place AND e.token = c.token
   GROUP BY e.leaf, e.tokens, e.first, e.last),
 recurring AS (
-  SELECT leaf, form, min(first) AS first FROM formed WHERE len(form) >= 0.6 * len(tokens)
+  SELECT leaf, form, min(first) AS first FROM formed WHERE len(form) >= 0.75 * len(tokens)
   GROUP BY leaf, form HAVING min(first) < max(last)),
 drops AS (
   SELECT l.doc_id, list(l.pos) AS gone FROM long_lines l
   JOIN formed f ON l.tokens = f.tokens JOIN recurring r ON f.leaf = r.leaf AND f.form = r.form
-  WHERE len(f.form) >= 0.6 * len(f.tokens) AND l.doc_id > r.first GROUP BY l.doc_id)
+  WHERE len(f.form) >= 0.75 * len(f.tokens) AND l.doc_id > r.first GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        CASE WHEN gone IS NULL THEN text
             ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)), '') END AS text
