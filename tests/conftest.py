@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from tracelake.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        "local[*]",
+        os.environ.get("TEST_MASTER", "local[*]"),
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")

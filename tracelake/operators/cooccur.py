@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.sequences import DISTINCT_CAP, distinct_prefix
+from tracelake.operators.sequences import distinct_prefix
 from tracelake.plans.frames import history
 
 NEIGHBOR_K = 5
@@ -35,10 +35,10 @@ def item_support(prefix: DataFrame) -> DataFrame:
     return prefix.groupBy("problem_id").agg(F.count(F.lit(1)).alias("users"))
 
 
-def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, cap: int = DISTINCT_CAP) -> DataFrame:
+def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, cap: int | None = None) -> DataFrame:
     """(problem_id, rank, neighbor_id, score): the ``k`` problems with the highest user Jaccard.
 
-    The per-user prefix of ``cap`` distinct problems is part of the measure.
+    With ``cap``, the measure is over the first ``cap`` distinct problems of each user.
     """
     prefix = distinct_prefix(logs, order, cap)
     support = item_support(prefix)

@@ -12,30 +12,32 @@ from tracelake.functions import vectors as V
 from tracelake.functions.keys import hash_order
 from tracelake.operators.sequences import TIME_DECAY, position_decay
 from tracelake.plans.frames import history
+from tracelake.plans.ranks import global_rank
+from tracelake.session import materialise
 
 # Fixed values of the heuristic score.
 CONCEPT_WEIGHT = 10.0
 LOWER_LEVEL, EQUAL_LEVEL = 5.0, 2.0
 NEIGHBOR_HIGH, NEIGHBOR_LOW, NEIGHBOR_SWITCH = 8.0, 2.0, 5.0
 TOP_K = 4
-HORIZON = 128
+# The high bonus needs a base under the switch, so no score is above this.
+BEST_SCORE = CONCEPT_WEIGHT + LOWER_LEVEL + NEIGHBOR_LOW
 # exp(-decay * lag) underflows to zero beyond this lag for any possible score,
 # and zero scores are not retrieved: older logs can never be a result.
-REACH = math.ceil((745.2 + math.log(CONCEPT_WEIGHT + LOWER_LEVEL + NEIGHBOR_HIGH)) / TIME_DECAY)
-BEST_SCORE = CONCEPT_WEIGHT + LOWER_LEVEL + NEIGHBOR_HIGH
+REACH = math.ceil((745.2 + math.log(BEST_SCORE)) / TIME_DECAY)
+# Logs that are always looked at, and positions in a block of older logs.
+HORIZON, OLD_BLOCK = 128, 1024
 
 
-def heuristic_score(use_levels: bool = True, use_neighbors: bool = True) -> Column:
-    """Score of ``overlap`` (concept Jaccard), ``h_level, h_problem_id`` against ``level, neighbors``."""
-    score = CONCEPT_WEIGHT * F.col("overlap")
+def heuristic_score(overlap: Column, h_level: Column, h_problem: Column, use_levels: bool = True, use_neighbors: bool = True) -> Column:
+    """Score of an earlier log (concept Jaccard ``overlap``, level, problem) against the row's ``level, neighbors``."""
+    score = CONCEPT_WEIGHT * overlap
     if use_levels:
-        both = (F.col("h_level") > 0) & (F.col("level") > 0)
-        score = score + F.when(both & (F.col("h_level") < F.col("level")), LOWER_LEVEL).when(
-            both & (F.col("h_level") == F.col("level")), EQUAL_LEVEL
-        ).otherwise(0.0)
+        both = (h_level > 0) & (F.col("level") > 0)
+        score = score + F.when(both & (h_level < F.col("level")), LOWER_LEVEL).when(both & (h_level == F.col("level")), EQUAL_LEVEL).otherwise(0.0)
     if use_neighbors:
         bonus = F.when(score < NEIGHBOR_SWITCH, NEIGHBOR_HIGH).otherwise(NEIGHBOR_LOW)
-        listed = F.coalesce(F.array_contains("neighbors", F.col("h_problem_id")), F.lit(False))
+        listed = F.coalesce(F.array_contains("neighbors", h_problem), F.lit(False))
         score = score + F.when(listed, bonus).otherwise(0.0)
     return score
 
@@ -56,8 +58,10 @@ _H = ("pos", "problem_id", "is_correct", "concepts", "level")
 
 
 def _scored(pairs: DataFrame, **flags: bool) -> DataFrame:
-    score = position_decay(heuristic_score(**flags), F.col("pos") - F.col("h_pos"))
-    return pairs.filter(F.col("h_problem_id") != F.col("problem_id")).withColumn("score", score).filter(F.col("score") > 0)
+    """Pairs of different problems with ``score``, without those that score nothing."""
+    base = heuristic_score(F.col("overlap"), F.col("h_level"), F.col("h_problem_id"), **flags)
+    scored = pairs.filter(F.col("h_problem_id") != F.col("problem_id")).withColumn("overlap", V.set_jaccard(F.col("h_concepts"), F.col("concepts")))
+    return scored.withColumn("score", position_decay(base, F.col("pos") - F.col("h_pos"))).filter(F.col("score") > 0)
 
 
 def _top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -65,44 +69,52 @@ def _top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _best_of_history(k: int, **flags: bool) -> Column:
+    """The best ``k`` of the row's ``history`` as structs (loss, h_pos, h_problem_id, h_is_correct), found inside the array."""
+    others = F.filter("history", lambda h: h["problem_id"] != F.col("problem_id"))
+
+    def item(h: Column) -> Column:
+        def with_overlap(overlap: Column) -> Column:
+            base = heuristic_score(overlap, h["level"], h["problem_id"], **flags)
+            loss = -position_decay(base, F.col("pos") - h["pos"])
+            return F.struct(loss.alias("loss"), h["pos"].alias("h_pos"), h["problem_id"].alias("h_problem_id"), h["is_correct"].alias("h_is_correct"))
+
+        return V.let(V.set_jaccard(h["concepts"], F.col("concepts")), with_overlap)
+
+    return F.slice(F.sort_array(F.filter(F.transform(others, item), lambda x: x["loss"] < 0)), 1, k)
+
+
 def heuristic(rows: DataFrame, k: int = TOP_K, horizon: int = HORIZON, **flags: bool) -> DataFrame:
     """Best ``k`` earlier logs of every target, over its whole history.
 
-    ``rows`` come from :func:`with_profile` with dense positions.  The first pass
-    looks back ``horizon`` logs.  A target whose k-th score could still be
-    beaten by an older log is redone over its full reach in blocks of that
-    reach, so results equal the unlimited search and no group grows with the user.
+    ``rows`` come from :func:`with_profile` with dense positions.  Every target
+    looks back ``horizon`` logs.  A log at lag l scores at most
+    ``BEST_SCORE * exp(-decay * l)``, so a target whose k-th score is s needs no
+    log beyond the lag ln(BEST_SCORE / s) / decay; one that has to look further
+    than the horizon meets the blocks of its user's logs within that reach.
+    The result is that of the unlimited search, and no group grows with a user.
     """
-    # The set overlap is computed inside the array, once per pair; as a plain
-    # column it would be repeated by every filter pushed through it.
-    light = [c for c in _H if c != "concepts"]
-    items = F.transform(
-        "history",
-        lambda h: F.struct(*[h[c].alias(c) for c in light], V.set_jaccard(h["concepts"], F.col("concepts")).alias("overlap")),
+    near = materialise(
+        history(rows, horizon, list(_H)).select("user_id", "pos", "problem_id", "concepts", "level", "neighbors", _best_of_history(k, **flags).alias("best"))
     )
-    pairs = history(rows, horizon, list(_H)).select(
-        "user_id", "block", "pos", "problem_id", "level", "neighbors", F.explode(items).alias("_h")
-    )
-    pairs = pairs.select("*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in light], "_h.overlap").drop("_h")
-    near = _top(_scored(pairs, **flags), ["user_id", "block", "pos"], k).select(
-        "user_id", "pos", "problem_id", "rank", "h_pos", "h_problem_id", "h_is_correct", "score"
-    )
-    # Counting users reads the key column only and combines map-side.
-    if rows.groupBy("user_id").count().filter(F.col("count") > horizon + 1).isEmpty():
-        return near
-    long_users = rows.filter(F.col("pos") > horizon)
-    bound = BEST_SCORE * math.exp(-TIME_DECAY * (horizon + 1))
-    settled = near.filter((F.col("rank") == k) & (F.col("score") >= bound)).select("user_id", "pos")
-    open_targets = long_users.join(settled, ["user_id", "pos"], "left_anti")
-    reach_block = F.floor(F.col("pos") / REACH)
-    targets = open_targets.withColumn("_b", F.explode(F.array(reach_block, reach_block - 1)))
-    old = rows.select("user_id", reach_block.alias("_b"), *[F.col(c).alias(f"h_{c}") for c in _H])
-    deep_pairs = targets.join(old, ["user_id", "_b"]).filter(
-        (F.col("h_pos") < F.col("pos")) & (F.col("h_pos") >= F.col("pos") - REACH)
-    )
-    deep_pairs = deep_pairs.withColumn("overlap", V.set_jaccard(F.col("h_concepts"), F.col("concepts")))
-    deep = _top(_scored(deep_pairs, **flags), ["user_id", "pos"], k).select(*near.columns)
-    return near.join(open_targets.select("user_id", "pos"), ["user_id", "pos"], "left_anti").unionByName(deep)
+    worst = -F.get("best", F.lit(k - 1))["loss"]
+    reach = F.least(F.lit(REACH), F.ceil(F.ln(F.lit(BEST_SCORE) / worst) / TIME_DECAY) + 1)
+    reach = F.coalesce(reach, F.lit(REACH)).cast("int")
+    settled = F.least(F.col("pos"), reach) <= horizon
+    found = ["user_id", "pos", "problem_id", "h_pos", "h_problem_id", "h_is_correct", "score"]
+
+    def listed(targets: DataFrame) -> DataFrame:
+        each = targets.select("user_id", "pos", "problem_id", F.posexplode("best").alias("_k", "_b"))
+        return each.select("user_id", "pos", "problem_id", (F.col("_k") + 1).alias("rank"), "_b.h_pos", "_b.h_problem_id", "_b.h_is_correct", (-F.col("_b.loss")).alias("score"))
+
+    further = near.filter(~settled)
+    lowest = F.greatest(F.col("pos") - reach, F.lit(0))
+    blocks = F.sequence(F.floor(lowest / OLD_BLOCK), F.floor((F.col("pos") - horizon - 1) / OLD_BLOCK))
+    asking = further.withColumns({"_low": lowest, "_block": blocks}).drop("best").withColumn("_block", F.explode("_block"))
+    old = rows.select("user_id", F.floor(F.col("pos") / OLD_BLOCK).alias("_block"), *[F.col(c).alias(f"h_{c}") for c in _H])
+    pairs = asking.join(old, ["user_id", "_block"]).filter((F.col("h_pos") >= F.col("_low")) & (F.col("h_pos") < F.col("pos") - horizon))
+    deep = _top(listed(further).select(*found).unionByName(_scored(pairs, **flags).select(*found)), ["user_id", "pos"], k)
+    return listed(near.filter(settled)).unionByName(deep.select("user_id", "pos", "problem_id", "rank", *found[3:]))
 
 
 def heuristic_for_targets(rows: DataFrame, targets: DataFrame, k: int = TOP_K, **flags: bool) -> DataFrame:
@@ -113,35 +125,35 @@ def heuristic_for_targets(rows: DataFrame, targets: DataFrame, k: int = TOP_K, *
     chosen = rows.join(targets.select("user_id", "pos"), ["user_id", "pos"], "left_semi")
     old = rows.select("user_id", *[F.col(c).alias(f"h_{c}") for c in _H])
     pairs = old.join(chosen, "user_id").filter(F.col("h_pos") < F.col("pos"))
-    pairs = pairs.withColumn("overlap", V.set_jaccard(F.col("h_concepts"), F.col("concepts")))
     return _top(_scored(pairs, **flags), ["user_id", "pos"], k).select(
         "user_id", "pos", "problem_id", "rank", "h_pos", "h_problem_id", "h_is_correct", "score"
     )
 
 
-def random_from_history(rows: DataFrame, targets: DataFrame, k: int = TOP_K, seed: int = 42) -> DataFrame:
-    """``k`` hash-chosen earlier logs per target."""
+def random_from_history(rows: DataFrame, targets: DataFrame, labelled: DataFrame, k: int = TOP_K, seed: int = 42) -> DataFrame:
+    """``k`` hash-chosen earlier logs per target, of labelled problems other than the target's own."""
     old = rows.select("user_id", F.col("pos").alias("h_pos"), F.col("problem_id").alias("h_problem_id"))
-    pairs = targets.join(old, "user_id").filter(F.col("h_pos") < F.col("pos"))
+    old = old.join(labelled.select(F.col("problem_id").alias("h_problem_id")), "h_problem_id", "left_semi")
+    pairs = targets.join(old, "user_id").filter((F.col("h_pos") < F.col("pos")) & (F.col("h_problem_id") != F.col("problem_id")))
     pick = hash_order(seed, F.col("user_id"), F.col("pos"), F.col("h_pos"))
     rank = F.row_number().over(Window.partitionBy("user_id", "pos").orderBy("_o"))
     return pairs.withColumn("_o", pick).withColumn("rank", rank).filter(F.col("rank") <= k).drop("_o")
 
 
-def random_from_pool(targets: DataFrame, pool: DataFrame, k: int = TOP_K, seed: int = 42) -> DataFrame:
-    """``k`` problems per target, read from a hash-shuffled and numbered pool at hashed offsets.
+def random_from_pool(targets: DataFrame, pool: DataFrame, k: int = TOP_K, seed: int = 42, tries: int = 5) -> DataFrame:
+    """``k`` problems per target, drawn from the pool with replacement; draws of the target itself do not count.
 
-    The pool is numbered once; a target looks up ``k`` consecutive numbers, so
-    no target is paired with the whole pool.
+    The pool is numbered once in hash order.  Each of the ``tries * k`` draws of a
+    target has its own hashed number, so no target is paired with the pool.
     """
-    from tracelake.plans.ranks import global_rank
-
     numbered = global_rank(pool.select("problem_id").distinct().withColumn("_o", hash_order(seed, F.col("problem_id"))), ["_o"], "slot")
     numbered = numbered.select(F.col("problem_id").alias("h_problem_id"), "slot")
     size = numbered.agg(F.count(F.lit(1))).scalar()
-    start = F.conv(F.substring(hash_order(seed, F.col("user_id"), F.col("pos")), 1, 12), 16, 10).cast("bigint")
-    asked = targets.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("slot", (start + F.col("rank")) % size)
-    return asked.join(numbered, "slot").drop("slot")
+    asked = targets.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(tries * k))))
+    drawn = F.conv(F.substring(hash_order(seed, F.col("user_id"), F.col("pos"), F.col("draw")), 1, 12), 16, 10).cast("bigint")
+    met = asked.withColumn("slot", drawn % size).join(numbered, "slot").filter(F.col("h_problem_id") != F.col("problem_id"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "pos").orderBy("draw"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).drop("slot", "draw")
 
 
 def fuse_second_score(candidates: DataFrame, weight: float = 0.5, scorer: Callable[[DataFrame], DataFrame] | None = None,

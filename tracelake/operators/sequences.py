@@ -16,7 +16,6 @@ HISTORY_WINDOW = 20
 DIAGNOSTIC_WINDOW = 10
 ALPHA_TIME = 0.2
 TIME_DECAY = 0.05
-DISTINCT_CAP = 200
 MASTERY_BETA = 0.5
 COUNT_BLOCK = 1 << 16
 
@@ -33,11 +32,10 @@ def dense_position(
     catalog: DataFrame | None = None,
     order: Sequence[str] = ("submit_time", "submit_time_raw", "log_id"),
     min_logs: int = 2,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Drop unknown problems, number the rest per user, drop users with too few logs."""
     kept = logs if catalog is None else known_only(logs, catalog)
-    ranked = positions(kept.drop("pos"), ["user_id"], list(order), hot_rows=hot_rows)
+    ranked = positions(kept.drop("pos"), ["user_id"], list(order))
     if min_logs <= 1:
         return ranked
     long_enough = ranked.filter(F.col("pos") == min_logs - 1).select("user_id")
@@ -61,13 +59,15 @@ def running_count(rows: DataFrame, flag: Column, name: str) -> DataFrame:
     )
 
 
-def distinct_prefix(logs: DataFrame, order: Sequence[str], cap: int = DISTINCT_CAP) -> DataFrame:
-    """First ``cap`` distinct problems of each user, in the order first met.
+def distinct_prefix(logs: DataFrame, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Distinct problems of each user; with ``cap`` the first so many, with ``rank`` in the order first met.
 
     The (user, problem) minimum combines map-side, and the rank filter is
     applied before the shuffle as well as after it, so no task sees a whole
     long user.
     """
+    if cap is None:
+        return logs.select("user_id", "problem_id").distinct()
     first = logs.groupBy("user_id", "problem_id").agg(F.min(F.struct(*order)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("_first"))
     return first.withColumn("rank", rank).filter(F.col("rank") <= cap).drop("_first")

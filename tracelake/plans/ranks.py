@@ -1,8 +1,7 @@
 """Row numbers and running sums that never need one task to see one whole group.
 
-``Window.partitionBy(user)`` sorts a user in one task.  That is the cheapest
-plan while every user fits a task, and a dead end when one user owns a large
-share of the data.  The functions here range-partition the full sort key
+``Window.partitionBy(user)`` sorts a user in one task, a dead end when one user
+owns a large share of the data.  The functions here range-partition the full sort key
 instead, number rows inside each range, and add per-range offsets.
 """
 
@@ -13,10 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.session import materialise, source_bytes
-
-HOT_GROUP_ROWS = 2_000_000
-SMALL_INPUT_BYTES = 256 << 20
+from tracelake.session import materialise
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -74,7 +70,13 @@ def global_prefix_sum(df: DataFrame, order: Sequence[str | Column], sums: Sequen
     return out.drop("_part", "_row", "_lo", *[f"_before_{c}" for c in sums])
 
 
-def _positions_by_range(df: DataFrame, keys: list[str], order: Sequence[str | Column], name: str) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos") -> DataFrame:
+    """0-based position of each row inside its key, under a total ``order``.
+
+    Rows are range-partitioned by key and order, numbered inside each range, and shifted by what earlier ranges hold of
+    the key; a key that fills many ranges is numbered by as many tasks.
+    """
+    keys = list(keys)
     ranged = _range_numbered(df, [*keys, *order])
     runs = ranged.groupBy("_part", *keys).agg(F.min("_row").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,35 +86,3 @@ def _positions_by_range(df: DataFrame, keys: list[str], order: Sequence[str | Co
         .withColumn(name, (F.col("_row") - F.col("_lo") + F.col("_skip")).cast("int"))
         .drop("_part", "_row", "_lo", "_skip")
     )
-
-
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    name: str = "pos",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """0-based position of each row inside its key, under a total ``order``.
-
-    Inputs whose source files are small take a plain keyed window.  Larger
-    ones are counted per key first (a map-side-combined aggregate over the key
-    column only); keys above ``hot_rows`` go through range partitioning, all
-    others through the window.  Giving ``hot_rows`` forces the count.
-    """
-    keys = list(keys)
-    plain = Window.partitionBy(*keys).orderBy(*_cols(order))
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(name, (F.row_number().over(plain) - 1).cast("int"))
-
-    if hot_rows is None:
-        size = source_bytes(df)
-        if size is not None and size <= SMALL_INPUT_BYTES:
-            return by_window(df)
-    limit = hot_rows or HOT_GROUP_ROWS
-    hot = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n"))
-    if hot.isEmpty():
-        return by_window(df)
-    cold = by_window(df.join(hot, keys, "left_anti"))
-    return cold.unionByName(_positions_by_range(df.join(hot, keys, "left_semi"), keys, order, name))

@@ -75,6 +75,13 @@ def jaccard_item_neighbors(spark, sf):
     return item_neighbors(spark, sf).select("problem_id", *_long("rank"), "neighbor_id", F.round("score", 6).alias("score"))
 
 
+@query("jaccard_item_neighbors_capped", f"WITH {LOGS}, {NEIGHBORS.replace('<= 1000000000', '<= 20')} SELECT problem_id, rank, neighbor_id, round(score, 6) AS score FROM neighbors")
+def jaccard_item_neighbors_capped(spark, sf):
+    """The named variant that counts only the first distinct problems of a user."""
+    out = C.item_neighbors(D.logs(spark, sf), D.LOG_ORDER, cap=20)
+    return out.select("problem_id", *_long("rank"), "neighbor_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "neighbor_backfill",
     f"""WITH {LOGS}, {CATALOG}, {NEIGHBORS}, strong AS (SELECT problem_id, neighbor_id, rank FROM neighbors WHERE score >= 0.06),

@@ -17,7 +17,7 @@ def _long(*names):
 
 
 NEIGHBORS = """firsts AS (SELECT user_id, problem_id, min({'a': submit_time, 'b': log_id}) AS f FROM logs GROUP BY ALL),
-prefix AS (SELECT user_id, problem_id FROM firsts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f) <= 200),
+prefix AS (SELECT user_id, problem_id FROM firsts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f) <= 1000000000),
 support AS (SELECT problem_id, count(*) AS n FROM prefix GROUP BY ALL),
 co AS (SELECT a.problem_id AS p, b.problem_id AS q, count(*) AS c FROM prefix a JOIN prefix b ON a.user_id = b.user_id AND a.problem_id <> b.problem_id GROUP BY ALL),
 neighbors AS (SELECT p AS problem_id, q AS neighbor_id, c / (sp.n + sq.n - c) AS score,
@@ -64,6 +64,12 @@ def history_retrieval_topk(spark, sf):
     return _shape(R.heuristic(profiled(spark, sf)))
 
 
+@query("history_retrieval_deep", _heuristic_sql("SELECT * FROM inter"))
+def history_retrieval_deep(spark, sf):
+    """The same with a short first look, so that most targets search their whole reach."""
+    return _shape(R.heuristic(profiled(spark, sf), horizon=8))
+
+
 _LAST = "SELECT * FROM inter QUALIFY pos = max(pos) OVER (PARTITION BY user_id)"
 
 

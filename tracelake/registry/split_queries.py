@@ -178,34 +178,47 @@ def vocabulary_counts(spark, sf):
     return M.counts(D.logs(spark, sf), D.catalog(spark, sf))
 
 
+_LAB = "lab AS (SELECT problem_id, replace(text, ' ', '-') AS l FROM catalog)"
+_POOL = """numbered AS (SELECT problem_id, row_number() OVER (ORDER BY sha256(concat_ws(chr(9), '42', problem_id))) - 1 AS slot FROM catalog),
+pooled AS (SELECT t.user_id, t.pos, t.problem_id, n.problem_id AS h_problem_id, row_number() OVER (PARTITION BY t.user_id, t.pos ORDER BY draw) AS rank
+  FROM targets t, range(1, 21) AS r(draw)
+  JOIN numbered n ON n.slot = ('0x' || substr(sha256(concat_ws(chr(9), '42', t.user_id, CAST(t.pos AS VARCHAR), CAST(draw AS VARCHAR))), 1, 12))::BIGINT % (SELECT count(*) FROM catalog)
+  WHERE n.problem_id <> t.problem_id QUALIFY rank <= 4)"""
+
+
 @query(
     "retrieval_quality",
-    f"""WITH {_heuristic_sql(_LAST)[5:].rsplit("SELECT user_id", 1)[0]},
+    f"""WITH {_heuristic_sql(_LAST)[5:].rsplit("SELECT user_id", 1)[0]}, {_LAB}, {_POOL},
 ret AS (SELECT user_id, pos, problem_id, h_problem_id FROM f WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY score DESC, h_pos) <= 4),
-rnd AS (SELECT t.user_id, t.pos, t.problem_id, h.problem_id AS h_problem_id FROM targets t JOIN inter h ON t.user_id = h.user_id AND h.pos < t.pos
+rnd AS (SELECT t.user_id, t.pos, t.problem_id, h.problem_id AS h_problem_id FROM targets t JOIN inter h ON t.user_id = h.user_id AND h.pos < t.pos AND h.problem_id <> t.problem_id
   QUALIFY row_number() OVER (PARTITION BY t.user_id, t.pos ORDER BY sha256(concat_ws(chr(9), '42', t.user_id, CAST(t.pos AS VARCHAR), CAST(h.pos AS VARCHAR)))) <= 4),
-u AS (SELECT 'retriever' AS strategy, * FROM ret UNION ALL SELECT 'history_random', * FROM rnd),
-lab AS (SELECT problem_id, replace(text, ' ', '-') AS l FROM catalog),
+u AS (SELECT 'retriever' AS strategy, * FROM ret UNION ALL SELECT 'history_random', * FROM rnd UNION ALL SELECT 'global_random', user_id, pos, problem_id, h_problem_id FROM pooled),
 q AS (SELECT strategy, count(*) AS retrieved_pairs, avg(CASE WHEN a.l = b.l THEN 1.0 ELSE 0.0 END) AS sc,
   avg(CASE WHEN split_part(a.l, '-', 1) = split_part(b.l, '-', 1) THEN 1.0 ELSE 0.0 END) AS st
   FROM u JOIN lab a ON u.problem_id = a.problem_id JOIN lab b ON u.h_problem_id = b.problem_id GROUP BY ALL)
 SELECT strategy, retrieved_pairs, round(sc, 6) AS same_cluster_rate, round(st, 6) AS same_top_rate,
-  round(sc - (SELECT sc FROM q WHERE strategy = 'history_random'), 6) AS gain_history FROM q""",
+  round(sc - (SELECT sc FROM q WHERE strategy = 'history_random'), 6) AS gain_history,
+  round(sc - (SELECT sc FROM q WHERE strategy = 'global_random'), 6) AS gain_global FROM q""",
 )
 def retrieval_quality(spark, sf):
     rows = profiled(spark, sf)
     targets = S.last_target(rows, ["problem_id"]).select("user_id", F.col("target_t").alias("pos"), F.col("target_problem_id").alias("problem_id"))
-    ret = R.heuristic_for_targets(rows, targets).select(F.lit("retriever").alias("strategy"), "problem_id", "h_problem_id")
-    rnd = R.random_from_history(rows, targets).select(F.lit("history_random").alias("strategy"), "problem_id", "h_problem_id")
     labels = D.catalog(spark, sf).select("problem_id", F.replace("text", F.lit(" "), F.lit("-")).alias("semantic_id"))
-    return _rounded(M.retrieval_quality(ret.unionByName(rnd), labels)).drop("gain_global")
+    found = {
+        "retriever": R.heuristic_for_targets(rows, targets),
+        "history_random": R.random_from_history(rows, targets, labels),
+        "global_random": R.random_from_pool(targets, labels),
+    }
+    each = [df.select(F.lit(name).alias("strategy"), "problem_id", "h_problem_id") for name, df in found.items()]
+    return _rounded(M.retrieval_quality(each[0].unionByName(each[1]).unionByName(each[2]), labels))
 
 
-@query("random_pool_baseline")
+@query("random_pool_baseline", f"WITH {INTER}, {CATALOG}, targets AS ({_LAST}), {_POOL} SELECT user_id, CAST(pos AS BIGINT) AS pos, problem_id, rank, h_problem_id FROM pooled")
 def random_pool_baseline(spark, sf):
-    """Four hash-chosen problems of the whole catalog per user's last target."""
+    """Four hash-drawn problems of the whole catalog per user's last target."""
     targets = S.last_target(D.interactions(spark, sf), ["problem_id"]).select("user_id", F.col("target_t").alias("pos"), F.col("target_problem_id").alias("problem_id"))
-    return R.random_from_pool(targets, D.catalog(spark, sf))
+    out = R.random_from_pool(targets, D.catalog(spark, sf))
+    return out.select("user_id", F.col("pos").cast("bigint").alias("pos"), "problem_id", F.col("rank").cast("bigint").alias("rank"), "h_problem_id")
 
 
 _LABELS = "lab AS (SELECT problem_id, replace(text, ' ', '-') || CASE WHEN level = 6 THEN '-misc' ELSE '' END AS semantic_id FROM catalog)"

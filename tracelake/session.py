@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +30,26 @@ def build_session(app: str = "tracelake", master: str | None = None, **settings:
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once per application, so that their Python finds it from any folder."""
+    marker, root = "tracelake.shipped", Path(__file__).resolve().parent
+    if spark.conf.get(marker, None) == spark.sparkContext.applicationId or not root.is_dir():
+        return spark
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "tracelake.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set(marker, spark.sparkContext.applicationId)
     return spark
 
 
@@ -79,18 +95,3 @@ def drop_scratch(spark: SparkSession) -> None:
     """Delete every table :func:`materialise` wrote in this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def source_bytes(df: DataFrame) -> int | None:
-    """Bytes of all files and local rows under ``df``, from plan statistics.
-
-    Metadata only, no job.  None when the plan has a leaf of unknown size.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for k in range(leaves.size()):
-        size = int(str(leaves.apply(k).stats().sizeInBytes()))
-        if size >= 1 << 62:
-            return None
-        total += size
-    return total
