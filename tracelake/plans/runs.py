@@ -27,7 +27,7 @@ def build_priors(
     order: Sequence[str] = ORDER,
     k1: int = clusters.MACRO_K,
     k2: int = clusters.MICRO_K,
-    restarts: int = 2,
+    restarts: int = clusters.RESTARTS,
 ) -> dict[str, DataFrame]:
     """Vectors, labels, difficulty, neighbours and graph of a catalog, each written below ``out``."""
     texts = catalog.select(
@@ -58,8 +58,8 @@ def build_contexts(spark: SparkSession, catalog: DataFrame, logs: DataFrame, pri
     states = _stored(sequences.diagnostic_state(profiled.select("user_id", "pos", "problem_id", "is_correct", "vec")).drop("vec"), f"{out}/states")
     weights, intercept = diagnostic.fit_diagnostic(states)
     s_dyn = diagnostic.with_probability(states, weights, intercept, "s_dyn").select("user_id", "pos", "s_dyn")
-    scored = evidence.stage1(evidence.with_history(profiled), p_diag=lambda h, cos: 0.5 + 0.5 * cos)
-    chosen = evidence.select(evidence.add_second_score(scored)).join(s_dyn, ["user_id", "pos"])
+    stated = profiled.join(states.select("user_id", "pos", "e_diag"), ["user_id", "pos"])
+    chosen = evidence.select(stated, diagnosis=(tuple(weights), intercept)).join(s_dyn, ["user_id", "pos"])
     summed = _stored(evidence.summary_fields(chosen, F.col("s_dyn")), f"{out}/selected")
     contexts = _stored(evidence.context_records(summed, evidence.evidence_records(summed, catalog, priors["labels"])), f"{out}/contexts")
     report = validate.report(
