@@ -273,7 +273,7 @@ def test_enrichment_uses_cache_then_signature(spark):
     got = {r.user_id: r for r in out.collect()}
     assert sorted(calls) == ["a", "d"] and fresh.count() == 2
     assert got["a"].llm_summary_text == got["b"].llm_summary_text and got["a"].llm_context_text.endswith("\nline")
-    assert [r.summary_problem for r in failures.collect()] == ["summary is not a JSON object"] and got["c"].llm_context_text == ""
+    assert [r.summary_problem for r in failures.collect()] == ["not-an-object"] and got["c"].llm_context_text == ""
 
 
 def test_incremental_computes_only_missing(spark, tmp_path):

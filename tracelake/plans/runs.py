@@ -55,7 +55,7 @@ def build_contexts(spark: SparkSession, catalog: DataFrame, logs: DataFrame, pri
     rows = sequences.dense_position(logs, catalog, list(order)).withColumn("is_correct", F.coalesce("is_correct", F.lit(0)))
     rows = _stored(rows.select("user_id", "pos", "problem_id", "is_correct"), f"{out}/interactions")
     profiled = rows.join(priors["profile"], "problem_id")
-    states = _stored(sequences.diagnostic_state(profiled.select("user_id", "pos", "problem_id", "is_correct", "vec")).drop("vec"), f"{out}/states")
+    states = _stored(sequences.diagnostic_state(profiled.select("user_id", "pos", "problem_id", "is_correct", "vec")), f"{out}/states")
     weights, intercept = diagnostic.fit_diagnostic(states)
     s_dyn = diagnostic.with_probability(states, weights, intercept, "s_dyn").select("user_id", "pos", "s_dyn")
     stated = profiled.join(states.select("user_id", "pos", "e_diag"), ["user_id", "pos"])

@@ -196,9 +196,21 @@ def summary_enrichment(spark, sf):
     return out.select("user_id", "target_t", F.coalesce("summary_problem", F.lit("ok")).alias("problem"), F.length("llm_context_text").alias("length"))
 
 
-@query("review_sheet")
+def _review_sql() -> str:
+    texts = "CASE WHEN len(overlap) > 0 THEN array_to_string(list_sort(overlap), '、') ELSE '无' END"
+    fields = {"problem_id": "h_problem_id", "role": "role", "knowledge_overlap": texts, "level_diff": "CAST(delta AS INTEGER)", "answer_result": "CASE WHEN h_is_correct = 1 THEN '正确' ELSE '错误' END", "question_text": "t.text"}
+    cols = ", ".join(f"max({expr}) FILTER (n.rank = {k}) AS evidence_{k}_{name}" for k in range(1, C.REVIEW_ITEMS + 1) for name, expr in fields.items())
+    return f"""WITH {SELECTED}, {RECORDS}, picked AS (SELECT DISTINCT user_id, pos FROM cand),
+fifty AS (SELECT * FROM picked ORDER BY sha256(concat_ws(chr(9), '42', user_id, CAST(pos AS VARCHAR))) LIMIT 50)
+SELECT f.user_id, f.pos AS target_t, {cols} FROM fifty f JOIN named n ON f.user_id = n.user_id AND f.pos = n.pos JOIN catalog t ON n.h_problem_id = t.problem_id GROUP BY ALL"""
+
+
+@query("review_sheet", _review_sql())
 def review_sheet(spark, sf):
-    return C.review_sheet(contexts(spark, sf), D.catalog(spark, sf))
+    out = C.review_sheet(contexts(spark, sf), D.catalog(spark, sf))
+    names = ("problem_id", "role", "knowledge_overlap", "level_diff", "answer_result", "question_text")
+    cols = [f"evidence_{k}_{n}" for k in range(1, C.REVIEW_ITEMS + 1) for n in names]
+    return out.select("user_id", *_long("target_t"), *[F.col(c).cast("int").alias(c) if c.endswith("level_diff") else F.col(c) for c in cols])
 
 
 @query(
@@ -232,12 +244,23 @@ def renest_counts(spark, sf):
     return out.select("user_id", *_long("chunk"), F.array_join("text", ",").alias("texts"))
 
 
-@query("struct_vectors")
+_PART_VECTOR = "[length({0}), length({0}) - length(replace({0}, 'a', '')), length({0}) - length(replace({0}, ' ', ''))]"
+
+
+@query(
+    "struct_vectors",
+    f"""WITH {CATALOG} SELECT problem_id, array_to_string(list_transform(list_concat({", ".join(_PART_VECTOR.format(c) for c in ("text", "title", "chapter"))}), lambda x: CAST(x AS BIGINT)), ',') AS vec FROM catalog""",
+)
 def struct_vectors(spark, sf):
-    """Four text parts of every part row encoded once per distinct text and joined end to end."""
-    parts = D.catalog(spark, sf).select("problem_id", "text", "title", "chapter", "location")
-    encoder = lambda df: E.hashed_tfidf(df, size=16)
-    return E.struct_vectors(parts, ["problem_id"], ["text", "title", "chapter", "location"], encoder).select("problem_id", F.size("vec").alias("size"))
+    """Three text parts of every part row, encoded once per distinct text by a given encoder and joined end to end."""
+
+    def encoder(df):
+        left = lambda drop: F.length("text") - F.length(F.replace("text", F.lit(drop)))
+        return df.withColumn("vec", F.array(F.length("text"), left("a"), left(" ")).cast("array<double>"))
+
+    parts = D.catalog(spark, sf).select("problem_id", "text", "title", "chapter")
+    out = E.struct_vectors(parts, ["problem_id"], ["text", "title", "chapter"], encoder)
+    return out.select("problem_id", F.array_join(F.col("vec").cast("array<bigint>").cast("array<string>"), ",").alias("vec"))
 
 
 @query(

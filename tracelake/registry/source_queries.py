@@ -260,7 +260,7 @@ def _summaries(spark, sf):
 
 @query(
     "summary_check",
-    """SELECT doc_id, CASE WHEN toxic = 1 THEN 'invalid risk_level' WHEN quality <> 1 THEN 'diagnosis is empty' ELSE 'ok' END AS problem,
+    """SELECT doc_id, CASE WHEN toxic = 1 THEN 'risk:level' WHEN quality <> 1 THEN 'diagnosis:empty' ELSE 'ok' END AS problem,
   '稳定掌握点：c' || doc_id || ' 持续薄弱点：w' AS points, round(4 / 80.0, 6) * quality AS size_feature FROM labels""",
 )
 def summary_check(spark, sf):

