@@ -16,7 +16,7 @@ from tracelake.session import materialise
 # Fixed values of the clustering and labelling.
 MACRO_K, MICRO_K = 50, 5
 RESTARTS, SEED = 10, 42
-FREQUENCY_VOCABULARY, TFIDF_VOCABULARY = 50, 5000
+TFIDF_VOCABULARY = 5000
 MACRO_WORDS, MICRO_WORDS = 1, 2
 
 
@@ -95,10 +95,10 @@ def cluster_tokens(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
     return clean.groupBy(*keys, "token").agg(F.sum("_n").alias("count"))
 
 
-def frequency_labels(tokens: DataFrame, keys: list[str], words: int, vocabulary: int = FREQUENCY_VOCABULARY) -> DataFrame:
+def frequency_labels(tokens: DataFrame, keys: list[str], words: int) -> DataFrame:
     """(keys, label): the most frequent tokens of each cluster joined by '-', names breaking ties."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "token"))
-    top = tokens.withColumn("_r", rank).filter(F.col("_r") <= min(words, vocabulary))
+    top = tokens.withColumn("_r", rank).filter(F.col("_r") <= words)
     listed = F.sort_array(F.collect_list(F.struct("_r", "token")))
     return top.groupBy(*keys).agg(listed.alias("_t")).select(*keys, F.array_join(F.col("_t.token"), "-").alias("label"))
 
@@ -114,12 +114,6 @@ def class_tfidf(tokens: DataFrame, documents: DataFrame, key: str, vocabulary: i
     )
 
 
-def tfidf_labels(weights: DataFrame, key: str) -> DataFrame:
-    """Heaviest token of each cluster, names breaking ties."""
-    best = weights.groupBy(key).agg(F.min(F.struct((-F.round("weight", 12)).alias("w"), "token")).alias("_b"))
-    return best.select(key, F.col("_b.token").alias("label"))
-
-
 def semantic_ids(catalog: DataFrame, clusters: DataFrame) -> DataFrame:
     """(problem_id, semantic_id, macro_fallback, micro_fallback, collapsed) from frequency labels."""
     texts = catalog.select(
@@ -156,7 +150,5 @@ def generation_stats(ids: DataFrame) -> DataFrame:
 
 def enriched_catalog(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     """Catalog with semantic ids; a problem without one is an error."""
-    missing = catalog.join(ids, "problem_id", "left_anti")
-    if not missing.isEmpty():
-        raise ValueError("problems without a semantic id")
-    return catalog.join(ids.select("problem_id", "semantic_id"), "problem_id", "left")
+    found = catalog.join(ids.select("problem_id", "semantic_id"), "problem_id", "left")
+    return found.withColumn("semantic_id", F.coalesce("semantic_id", F.raise_error(F.lit("problem without a semantic id")).cast("string")))

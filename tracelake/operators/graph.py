@@ -357,10 +357,3 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, key: str, max_hops: int = M
         frontier = grown.join(reached, [key, "concept"], "left_anti")
         reached = reached.unionByName(frontier)
     return reached
-
-
-def covered_nodes(sources: DataFrame, target_nodes: DataFrame, phi: DataFrame, key: str) -> DataFrame:
-    """Distinct (key, concept): nodes of the target's neighbourhood a history item reaches or contains."""
-    contained = sources.select(key, "concept")
-    reached = sources.join(phi.filter(F.col("phi") > 0), F.col("concept") == F.col("src")).select(key, F.col("dst").alias("concept"))
-    return contained.unionByName(reached).distinct().join(target_nodes, [key, "concept"], "left_semi")

@@ -363,9 +363,4 @@ def renest(rows: DataFrame, values: DataFrame, value: str, missing: Column) -> D
     return chunk(joined.withColumn(value, F.coalesce(F.col(value), missing)), 1024, {value: None})
 
 
-def windowed_pairs(rows: DataFrame, width: int, cols: Sequence[str]) -> DataFrame:
-    """Log pairs of one user at most ``width`` positions apart, earlier columns prefixed ``h_``."""
-    return history_rows(rows, width, list(cols))
-
-
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -47,10 +47,8 @@ def struct_vectors(df: DataFrame, keys: list[str], parts: list[str], encoder: Ca
 
     All parts are encoded in one pass over their distinct texts.
     """
-    blank = df.filter(F.greatest(*[F.col(p).isNull().cast("int") for p in parts]) == 1)
-    if not blank.isEmpty():
-        raise ValueError("some rows lack a text part")
-    order = F.array(*[F.struct(F.lit(k).alias("part"), F.col(p).alias("text")) for k, p in enumerate(parts)])
+    blank = F.raise_error(F.lit("a row lacks a text part")).cast("string")
+    order = F.array(*[F.struct(F.lit(k).alias("part"), F.coalesce(F.col(p), blank).alias("text")) for k, p in enumerate(parts)])
     long = encode_distinct(df.select(*keys, F.inline(order)), "text", encoder)
     grouped = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "vec"))).alias("_p"))
     return grouped.select(*keys, F.flatten(F.col("_p.vec")).alias("vec"))

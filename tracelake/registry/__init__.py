@@ -6,6 +6,7 @@ from tracelake.registry import (  # noqa: F401
     fit_queries,
     graph_queries,
     retrieval_queries,
+    rule_queries,
     source_queries,
     sequence_queries,
     split_queries,
