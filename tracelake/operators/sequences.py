@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import vectors as V
+from tracelake.operators import stack
 from tracelake.operators.similarity import add_band
 from tracelake.plans.frames import history, history_rows, look_back, with_blocks
 from tracelake.plans.ranks import positions
@@ -102,17 +103,11 @@ def with_item_features(rows: DataFrame, vectors: DataFrame, catalog: DataFrame |
 TARGET = ["user_id", "block", "pos"]
 
 
-def similarity_band(rows: DataFrame, n: int = HISTORY_WINDOW, cols: Sequence[str] = ("pos", "is_correct", "level"), keep_vectors: bool = False) -> DataFrame:
-    """Adds ``history`` (last ``n`` logs) and ``band`` (similarity to each of them), oldest first.
-
-    ``rows`` carry unit vectors in ``vec``.  ``keep_vectors`` keeps ``vec`` and
-    leaves the history vectors in ``h_vecs``.
-    """
-    banded = add_band(rows, n, keep_vec=keep_vectors)
+def similarity_band(rows: DataFrame, n: int = HISTORY_WINDOW, cols: Sequence[str] = ("pos", "is_correct", "level")) -> DataFrame:
+    """Adds ``history`` (last ``n`` logs) and ``band`` (similarity to each of them), oldest first, for unit vectors ``vec``."""
+    banded = add_band(rows, n)
     frame = Window.partitionBy("user_id", "block").orderBy("pos").rowsBetween(-n, -1)
     out = banded.withColumn("history", F.collect_list(F.struct(*cols)).over(frame))
-    if keep_vectors:
-        out = out.withColumn("h_vecs", F.collect_list("vec").over(frame))
     return out.filter(~F.col("lead")).drop("lead")
 
 
@@ -130,33 +125,12 @@ def attention_state(rows: DataFrame, n: int = HISTORY_WINDOW) -> DataFrame:
     ``rows`` need ``pos, is_correct, level, vec`` with unit vectors.  Without
     history every part is zero.
     """
-    banded = similarity_band(rows, n, keep_vectors=True)
-    level, pos = F.col("level"), F.col("pos")
-    scores = F.zip_with("history", "band", lambda h, b: b - F.abs(h["level"] - level) - F.log1p(pos - h["pos"]))
-    out = banded.withColumn(
-        "_a", V.let(V.softmax(scores), lambda a: F.zip_with("history", a, lambda h, w: h.withField("w", w)))
-    )
-
-    def share(pick, name: str) -> Column:
-        return F.aggregate("_a", F.lit(0.0), lambda s, h: s + h["w"] * pick(h).cast("double")).alias(name)
-
-    return out.select(
-        *rows.columns,
-        V.weighted_sum(F.transform("_a", lambda h: h["w"]), F.col("h_vecs"), V.zeros_like(F.col("vec"))).alias("state_vec"),
-        share(lambda h: h["is_correct"], "state_correct"),
-        share(lambda h: h["level"] < level, "state_lower"),
-        share(lambda h: h["level"] == level, "state_equal"),
-        share(lambda h: h["level"] > level, "state_higher"),
-    )
+    return stack.pooled_states(rows, n, attention=True)
 
 
 def diagnostic_state(rows: DataFrame, n: int = DIAGNOSTIC_WINDOW) -> DataFrame:
     """Adds ``e_diag``, the signed attention state; a zero vector where there is no history."""
-    banded = similarity_band(rows, n, ["is_correct"], keep_vectors=True)
-    signed = V.let(
-        V.softmax(F.col("band")), lambda a: F.zip_with("history", a, lambda h, w: w * (2 * h["is_correct"] - 1))
-    )
-    return banded.select(*rows.columns, V.weighted_sum(signed, F.col("h_vecs"), V.zeros_like(F.col("vec"))).alias("e_diag"))
+    return stack.pooled_states(rows, n, attention=False)
 
 
 def mastery(correct: Column, probability: Column, beta: float = MASTERY_BETA) -> Column:
