@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,12 +54,12 @@ def sigmoid(c: Column) -> Column:
     return F.when(c >= 0, 1.0 / (1.0 + small)).otherwise(small / (1.0 + small))
 
 
-def softmax_over(score: Column, keys: Sequence[str]) -> Column:
-    """Max-shifted softmax of ``score`` within ``keys`` (groups must be bounded)."""
-    group = Window.partitionBy(*keys)
-    shifted = F.exp(score - F.max(score).over(group))
-    total = F.sum(shifted).over(group)
-    return F.when(total > 0, shifted / total).otherwise(1.0 / F.count(F.lit(1)).over(group))
+def softmax_within(rows: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
+    """Adds ``name``, the max-shifted softmax of ``score`` within ``keys``, by two pre-aggregated sums that are joined back."""
+    top = rows.groupBy(*keys).agg(F.max(score).alias("_top"))
+    raised = rows.join(top, list(keys)).withColumn("_raised", F.exp(F.col(score) - F.col("_top")))
+    total = raised.groupBy(*keys).agg(F.sum("_raised").alias("_total"))
+    return raised.join(total, list(keys)).withColumn(name, F.col("_raised") / F.col("_total")).drop("_top", "_raised", "_total")
 
 
 def softmax(scores: Column) -> Column:

@@ -109,9 +109,11 @@ def nearest_items(vectors: DataFrame, k: int = 5, block: int = 2048) -> DataFram
             return pd.DataFrame({"problem_id": [], "neighbor_id": [], "score": []})
         names = b["problem_id"].to_numpy()
         scores = np.round(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, 9)
+        least = np.partition(scores, -min(k + 1, len(names)), axis=1)[:, -min(k + 1, len(names))]
         out = []
-        for p, row in zip(a["problem_id"], scores):
-            order = np.lexsort((names, -row))[: k + 1]
+        for p, row, low in zip(a["problem_id"], scores, least):
+            near = np.nonzero(row >= low)[0]
+            order = near[np.lexsort((names[near], -row[near]))][: k + 1]
             out += [(p, names[j], row[j]) for j in order if names[j] != p][:k]
         return pd.DataFrame(out, columns=["problem_id", "neighbor_id", "score"])
 

@@ -84,7 +84,7 @@ def jaccard_item_neighbors_capped(spark, sf):
 
 @query(
     "neighbor_backfill",
-    f"""WITH {LOGS}, {CATALOG}, {NEIGHBORS}, strong AS (SELECT problem_id, neighbor_id, rank FROM neighbors WHERE score >= 0.06),
+    f"""WITH {LOGS}, {CATALOG}, {NEIGHBORS}, strong AS (SELECT problem_id, neighbor_id, rank FROM neighbors WHERE rank <= 2),
 lab AS (SELECT problem_id, text AS semantic_id FROM catalog),
 extra AS (SELECT a.problem_id, b.problem_id AS neighbor_id, row_number() OVER (PARTITION BY a.problem_id ORDER BY b.problem_id) AS place
   FROM lab a JOIN lab b ON a.semantic_id = b.semantic_id AND a.problem_id <> b.problem_id
@@ -93,7 +93,7 @@ u AS (SELECT problem_id, neighbor_id, 'jaccard' AS origin, rank AS place FROM st
 SELECT problem_id, neighbor_id, origin, row_number() OVER (PARTITION BY problem_id ORDER BY origin, place) AS rank FROM u QUALIFY rank <= 5""",
 )
 def neighbor_backfill(spark, sf):
-    strong = item_neighbors(spark, sf).filter(F.col("score") >= 0.06)
+    strong = C.item_neighbors(D.logs(spark, sf), D.LOG_ORDER, k=2)
     cat = D.catalog(spark, sf)
     labels = cat.select("problem_id", F.col("text").alias("semantic_id"))
     return C.fill_neighbors(strong, cat, labels).select("problem_id", "neighbor_id", "origin", *_long("rank"))

@@ -287,11 +287,9 @@ def vector_math(spark, sf):
 
     v = D.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     centres = v.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"))
-    out = v.join(centres, "label").withColumn("c", V.cosine(F.col("v"), F.col("m")))
-    return out.select(
-        "vec_id", F.round("c", 6).alias("cos"), F.round(V.norm(F.col("v")), 6).alias("norm"),
-        F.round(V.softmax_over(F.col("c"), ["label"]), 6).alias("share"), F.round(V.sigmoid(F.col("c")), 6).alias("logistic"),
-    )
+    out = v.join(centres, "label").select("vec_id", "label", V.cosine(F.col("v"), F.col("m")).alias("c"), V.norm(F.col("v")).alias("norm"))
+    out = V.softmax_within(out, ["label"], "c", "share")
+    return out.select("vec_id", F.round("c", 6).alias("cos"), *[F.round(x, 6).alias(x) for x in ("norm", "share")], F.round(V.sigmoid(F.col("c")), 6).alias("logistic"))
 
 
 @query(
