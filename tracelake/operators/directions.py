@@ -18,6 +18,8 @@ from tracelake.session import materialise
 
 CO_USAGE_SIZE, CO_USAGE_WINDOW = 64, 5
 SENTENCE = 1000
+# Concepts whose matrices are decomposed together.
+SOLVED_AT_ONCE = 256
 
 
 def principal_directions(catalog: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -49,19 +51,17 @@ def principal_directions(catalog: DataFrame, vectors: DataFrame) -> DataFrame:
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.n == 1:
-                    size = np.linalg.norm(r.total)
-                    out.append(r.total / size if size > 0 else np.zeros_like(r.total))
-                    continue
-                d = len(r.total)
-                centred = np.asarray(r.gram).reshape(d, d) - np.outer(r.total, r.total) / r.n
-                axis = np.linalg.eigh(centred)[1][:, -1]
-                if r.levels >= 2 and axis @ (np.asarray(r.high) - np.asarray(r.low)) < 0:
-                    axis = -axis
-                out.append(axis)
-            yield pd.DataFrame({"concept": batch["concept"], "direction": out})
+            for start in range(0, len(batch), SOLVED_AT_ONCE):
+                part = batch.iloc[start : start + SOLVED_AT_ONCE]
+                n, total = part["n"].to_numpy(), np.stack(part["total"].to_numpy())
+                d = total.shape[1]
+                gram = np.stack(part["gram"].to_numpy()).reshape(-1, d, d)
+                axis = np.linalg.eigh(gram - total[:, :, None] * total[:, None, :] / n[:, None, None])[1][:, :, -1]
+                rise = np.einsum("ij,ij->i", axis, np.stack(part["high"].to_numpy()) - np.stack(part["low"].to_numpy()))
+                axis = np.where(((part["levels"].to_numpy() >= 2) & (rise < 0))[:, None], -axis, axis)
+                size = np.linalg.norm(total, axis=1, keepdims=True)
+                alone = np.divide(total, size, out=np.zeros_like(total), where=size > 0)
+                yield pd.DataFrame({"concept": part["concept"], "direction": list(np.where((n == 1)[:, None], alone, axis))})
 
     return sums.join(ends, "concept").mapInPandas(solve, "concept string, direction array<double>")
 

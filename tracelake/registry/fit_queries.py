@@ -128,6 +128,31 @@ def principal_directions(spark, sf):
     return out.select("concept", F.round(V.norm(F.col("direction")), 6).alias("size"))
 
 
+@query(
+    "principal_direction_checks",
+    f"""WITH {CATALOG}, {VECS} SELECT concept, CAST(1 AS BIGINT) AS unit, CAST(1 AS BIGINT) AS principal
+FROM (SELECT problem_id, unnest(concepts) AS concept FROM catalog) JOIN vecs USING (problem_id) GROUP BY concept HAVING count(*) > 1""",
+)
+def principal_direction_checks(spark, sf):
+    """Directions of concepts with several problems are unit eigenvectors of the scatter, and no coordinate axis has more of it."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    catalog, vectors = D.catalog(spark, sf), D.item_vectors(spark, sf).select("problem_id", "vec")
+    rows = catalog.select("problem_id", F.explode("concepts").alias("concept")).join(vectors, "problem_id")
+    mean = rows.groupBy("concept").agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    centred = rows.join(mean, "concept").join(R.principal_directions(catalog, vectors), "concept").select(
+        "concept", "direction", F.zip_with("vec", "m", lambda x, y: x - y).alias("x")
+    )
+    along = V.dot(F.col("x"), F.col("direction"))
+    centred = centred.withColumn("p", along).withColumn("px", F.transform("x", lambda v: v * F.col("p"))).withColumn("xx", F.transform("x", lambda v: v * v))
+    add = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c)))
+    sums = centred.groupBy("concept").agg(add("px").alias("cd"), add("xx").alias("axes"), F.sum(F.col("p") * F.col("p")).alias("lam"), F.first("direction").alias("d"))
+    residual = V.norm(F.zip_with("cd", "d", lambda c, d: c - F.col("lam") * d)) / F.col("lam")
+    principal = (residual < 1e-6) & (F.col("lam") >= F.array_max("axes") * (1 - 1e-9))
+    return sums.select("concept", (F.abs(V.norm(F.col("d")) - 1) < 1e-9).cast("bigint").alias("unit"), principal.cast("bigint").alias("principal"))
+
+
 @query(
     "problem_directions",
     f"""WITH {CATALOG}, {VECS}, cd AS (SELECT cluster AS concept, list_transform(range(64), lambda k: sin(cluster + k)) AS d FROM (SELECT DISTINCT cluster FROM vecs)),
@@ -186,6 +211,23 @@ def diagnostic_model(spark, sf):
     return G.with_probability(states, weights, intercept).select("user_id", "pos", F.round("p_diag", 6).alias("p_diag"))
 
 
+@query(
+    "encoded_texts",
+    "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS es, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents",
+)
+def encoded_texts(spark, sf):
+    """Every document with the vector of a given encoder, equal texts encoded once and half of them found in a cache."""
+
+    def encoder(df):
+        left = lambda drop: F.length("text") - F.length(F.replace("text", F.lit(drop)))
+        return df.withColumn("vec", F.array(F.length("text"), left("e"), left(" ")).cast("array<double>"))
+
+    docs = D.table(spark, sf, "documents").select("doc_id", "text")
+    cached = encoder(docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 0).select("text").distinct())
+    out = E.encode_distinct(docs, "text", encoder, cached)
+    return out.select("doc_id", *[F.col("vec")[k].cast("bigint").alias(c) for k, c in enumerate(("chars", "es", "blanks"))])
+
+
 @query("text_vectors")
 def text_vectors(spark, sf):
     """Hashed TF-IDF vector of every document, equal texts encoded once."""
