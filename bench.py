@@ -12,7 +12,7 @@ import sys
 import time
 
 from tracelake.registry import QUERIES
-from tracelake.session import build_session
+from tracelake.session import build_session, drop_scratch
 
 HEADLINE = (
     "history_retrieval_topk",
@@ -48,6 +48,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        drop_scratch(spark)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -40,14 +40,13 @@ def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, c
 
     With ``cap``, the measure is over the first ``cap`` distinct problems of each user.
     """
-    prefix = distinct_prefix(logs, order, cap)
-    support = item_support(prefix)
-    pairs = (
-        item_pairs(prefix)
-        .join(support.select(F.col("problem_id").alias("a"), F.col("users").alias("_na")), "a")
-        .join(support.select(F.col("problem_id").alias("b"), F.col("users").alias("_nb")), "b")
-        .withColumn("score", F.col("inter") / (F.col("_na") + F.col("_nb") - F.col("inter")))
-    )
+    # Pairs are counted by hashed ids; names come back with the supports.
+    prefix = distinct_prefix(logs, order, cap).withColumn("_id", F.xxhash64("problem_id"))
+    support = prefix.groupBy("_id", "problem_id").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = pairs_of_sorted(prefix, "user_id", "_id", ("_a", "_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("inter"))
+    for side in ("a", "b"):
+        pairs = pairs.join(support.select(F.col("_id").alias(f"_{side}"), F.col("problem_id").alias(side), F.col("_n").alias(f"_n{side}")), f"_{side}")
+    pairs = pairs.withColumn("score", F.col("inter") / (F.col("_na") + F.col("_nb") - F.col("inter")))
     both = pairs.select(
         "score",
         F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("n")), F.struct(F.col("b").alias("p"), F.col("a").alias("n")))).alias("_e"),
