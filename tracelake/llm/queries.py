@@ -110,7 +110,46 @@ def rotated_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-@query("op3_risk_controlled_quality")
+_QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+grams AS (SELECT doc_id, p, ws[p:p + 4] AS gram FROM w, unnest(range(1, len(ws) - 3)) AS u(p)),
+twice AS (SELECT doc_id, p FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS words FROM counted),
+steps AS (
+  SELECT doc_id, lang, base_failed, m.measure, m.place, CAST(ceil(greatest(0.0::DOUBLE, least(1.0::DOUBLE, m.v)) * 200) AS INTEGER) AS step
+  FROM based, unnest([{'measure': 'symbols', 'place': 1, 'v': n_symbols / words}, {'measure': 'dup_lines', 'place': 2, 'v': n_dup_lines * 10 / words},
+                      {'measure': 'repeats', 'place': 3, 'v': n_repeat_words / words}, {'measure': 'long_words', 'place': 4, 'v': (word_chars / words - 3) / 17},
+                      {'measure': 'short_words', 'place': 5, 'v': (6 - word_chars / words) / 6}]) AS u(m)),
+ladder AS (
+  SELECT lang, measure, step, sum(quality) AS good, sum(1 - quality) AS poor
+  FROM steps JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed GROUP BY ALL),
+cuts AS (
+  SELECT l.lang, l.measure, c, sum(good) AS n_good, sum(poor) AS n_poor, coalesce(sum(good) FILTER (step > c), 0) AS k, coalesce(sum(poor) FILTER (step > c), 0) AS hit
+  FROM ladder l, range(201) AS r(c) GROUP BY ALL),
+tails AS (
+  SELECT *, list_sum(list_transform(range(CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1)
+                                                                       + i * ln(0.02::DOUBLE) + (n_good - i) * ln(0.98::DOUBLE)))) AS tail
+  FROM cuts WHERE k <= 0.03 * n_good),
+gains AS (
+  SELECT lang, measure, c, hit / greatest(n_poor, 1) - 10 * k / greatest(n_good, 1) AS gain FROM tails
+  WHERE tail <= 0.1 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM ladder)) * 5)),
+chosen AS (SELECT lang, measure, c FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY lang, measure ORDER BY gain DESC, c DESC) = 1),
+broken AS (
+  SELECT s.doc_id, arg_min(s.measure, s.place) AS rule FROM steps s
+  JOIN chosen c ON s.lang IS NOT DISTINCT FROM c.lang AND s.measure = c.measure AND s.step > c.c GROUP BY s.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.rule IS NULL AS kept, x.rule
+FROM based b LEFT JOIN broken x ON b.doc_id = x.doc_id"""
+
+
+@query("op3_risk_controlled_quality", _QUALITY_SQL)
 def risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
