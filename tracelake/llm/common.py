@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.session import apply_settings, materialise
 
@@ -44,16 +48,41 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], running: tuple[str, str] | None = None) -> DataFrame:
     """Range-partitioned and sorted copy in the shared folder, with ``_part`` and a ``_row`` that grows with the order.
 
-    Written once: range bounds are sampled, so two evaluations of one plan may cut differently.
+    With ``running``, a key column that leads the order and a bigint column, ``_inside`` is the sum of the second over
+    the earlier rows of the same key in the same range.  Written once: range bounds are sampled, so two evaluations of
+    one plan may cut differently.
     """
-    return materialise(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    )
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    return materialise(_with_running_sum(rows, *running) if running else rows)
+
+
+def _with_running_sum(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds ``_inside``; one look at each row in its order, without another shuffle."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(key), batch.column(value).to_numpy()
+            equal = np.asarray(pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False), dtype=bool)
+            null = np.asarray(keys.is_null())
+            new = np.concatenate([[True], ~(equal | (null[1:] & null[:-1]))])
+            carried = last is not None and last[0] == keys[0].as_py()
+            before = np.cumsum(values) - values
+            first = np.nonzero(new)[0]
+            inside = before - np.repeat(before[first], np.diff(np.append(first, len(keys))))
+            if carried:
+                inside[: first[1] if len(first) > 1 else None] += total
+            last, total = (keys[-1].as_py(),), int(inside[-1] + values[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside)], [*names, "_inside"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_inside", T.LongType())]))
 
 
 def run_offsets(rows: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:

@@ -114,12 +114,9 @@ def plan(
     sized = docs.withColumn("size", n_words("text") if size is None else size)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, schedules, budget, repeats))
-    rows = ranged(sized, [F.col("source").asc_nulls_last(), *order])
+    rows = ranged(sized, [F.col("source").asc_nulls_last(), *order], running=("source", "size"))
     offsets = run_offsets(rows, ["source"], {"size": F.sum("size")})
-    inside = Window.partitionBy("_part", "source").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = null_safe(rows, offsets, ["_part", "source"]).withColumn(
-        "_start", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("_before_size")
-    )
+    placed = null_safe(rows, offsets, ["_part", "source"]).withColumn("_start", F.col("_inside") + F.col("_before_size"))
     placed = null_safe(placed, targets, ["source"])
     goal = F.round("target").cast("long")
     starts = [F.col("_start") + k * F.col("source_size") for k in range(repeats)]
@@ -142,7 +139,7 @@ def plan(
         placed.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
         .withColumn("taken", sum(words[1:], words[0]).cast("long"))
         .withColumn("_order", F.coalesce(F.try_element_at("copies", F.lit(1))["position"], late))
-        .drop("_part", "_row", "_lo", "_before_size", "_start", "_turn")
+        .drop("_part", "_row", "_lo", "_inside", "_before_size", "_start", "_turn")
     )
 
 
