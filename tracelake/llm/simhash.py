@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import null_safe
 from tracelake.llm.components import components
 from tracelake.session import materialise
 
@@ -175,9 +174,9 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents of smallest doc_id of each group, one row for each group; nulls come last, equal rows count once."""
     names = docs.columns
-    tie = F.xxhash64(*names)
-    slim = docs.withColumn("_tie", tie)
-    grouped = near_duplicates(slim, ["doc_id", "_tie"])
-    chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")).alias("_c")).select("_c.doc_id", "_c._tie")
-    stay = null_safe(slim, chosen, ["doc_id", "_tie"], "left_semi")
-    return stay.dropDuplicates(["doc_id", "_tie"]).select(*names)
+    # Two hashes of the whole row stand for it: never null, and equal for repeated rows alone.
+    marks = {"_m1": F.xxhash64(*names), "_m2": F.xxhash64(F.lit(1), *reversed(names))}
+    marked = docs.withColumns(marks)
+    grouped = near_duplicates(marked, ["doc_id", *marks])
+    chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks)).alias("_c")).select("_c._m1", "_c._m2")
+    return marked.join(chosen, [*marks], "left_semi").dropDuplicates([*marks]).select(*names)
