@@ -17,29 +17,74 @@ reserved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import SPACE_CLASS, null_safe
+from tracelake.functions.vectors import let
+from tracelake.llm.common import SPACE_CLASS
 from tracelake.session import materialise
 
-DEPTH, LEAST_TOKENS, SIMILAR = 3, 5, 0.6
+DEPTH, LEAST_TOKENS, SIMILAR = 3, 5, 0.75
 FIELD = "<*>"
 #: A token with a digit; tried only where a token starts, so that long tokens cost no more than their length.
-_NUMBER = rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}0-9]*+[0-9][^{SPACE_CLASS}]*+"
+_NUMBER = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 _NO_ID = (1 << 63) - 1
+#: Bits of the bitmap of shared leaves.
+BITS = 1 << 22
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text, _doc, pos, leaf, kind, tokens) of every line that is long enough."""
-    blanks = F.lit(" \t\n\x0b\x0c\r")
-    rows = docs.select(
-        "doc_id", F.xxhash64("text").alias("_text"), F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("_doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
-    masked = F.btrim(F.regexp_replace("line", _NUMBER, FIELD), blanks)
-    rows = rows.withColumn("tokens", F.split(masked, f"[{SPACE_CLASS}]+")).filter(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return rows.select("doc_id", "_text", "_doc", "pos", leaf.alias("leaf"), F.xxhash64("tokens").alias("kind"), "tokens")
+def _document_key() -> dict[str, Column]:
+    """What tells a document, never null."""
+    return {"_doc": F.coalesce("doc_id", F.lit(_NO_ID)).cast("long"), "_text": F.xxhash64("text")}
+
+
+def _tokens_of(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+
+
+def _evened(line: Column) -> Column:
+    """The line with its tokens joined by single blanks; few lines need the regular expression."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.btrim(F.when(odd, F.regexp_replace(line, f"[{SPACE_CLASS}]+", " ")).otherwise(line), F.lit(" "))
+
+
+def _masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBER, FIELD)).otherwise(line)
+
+
+def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
+    """(_doc, _text, pos, leaf, kind) and, if wanted, ``line`` of every line that is long enough, number fields blanked.
+
+    The steps run inside the array of lines, so that each is done once for a line; as columns they would be repeated by
+    every filter and key that uses them.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.alias("pos"), _evened(x).alias("line")))
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), _tokens_of(x["line"]).alias("n")))
+    lines = F.filter(lines, lambda x: x["n"] >= LEAST_TOKENS)
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), _masked(x["line"]).alias("line"), x["n"].alias("n")))
+
+    def keyed(x: Column) -> Column:
+        leaf = F.xxhash64(x["n"], F.substring_index(x["line"], " ", DEPTH))
+        fields = [x["pos"].alias("pos"), leaf.alias("leaf"), F.xxhash64(x["line"]).alias("kind")]
+        return F.struct(*fields, *[x["line"].alias("line")] * with_text)
+
+    return docs.select(*[c.alias(n) for n, c in _document_key().items()], F.inline(F.transform(lines, keyed)))
+
+
+def _among(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf is among ``leaves``.
+
+    A bitmap of the leaves' hashes goes ahead of the join, so that few other lines are shuffled.  It has at most
+    ``BITS / 64`` rows, whatever the input, and so may be broadcast; the join decides.
+    """
+    bit = F.pmod("leaf", F.lit(BITS))
+    places = {"_word": F.floor(bit / 64), "_bit": (bit % 64).cast("int")}
+    words = leaves.withColumns(places).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    likely = lines.withColumns(places).join(F.broadcast(words), "_word").filter(F.getbit("_bits", F.col("_bit")) == 1)
+    # Not a semi-join: that would be moved below the bitmap, to all lines.  ``leaves`` are distinct.
+    return likely.drop("_word", "_bit", "_bits").join(leaves, "leaf")
 
 
 def _recurring(rows: DataFrame, *keys: str) -> DataFrame:
@@ -61,10 +106,10 @@ def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
     alone = leaves.filter((F.col("first") < F.col("last")) & (F.col("n") == 1)).select("leaf")
     alone = kinds.join(alone, "leaf", "left_semi").select("leaf", "kind", "first")
     varied = materialise(
-        _lines(docs).select("leaf", "kind", "tokens", "_doc").join(shared, "leaf", "left_semi")
-        .groupBy("leaf", "kind", "tokens").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
+        _among(_lines(docs, with_text=True).select("leaf", "kind", "line", "_doc"), shared)
+        .groupBy("leaf", "kind", "line").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
     )
-    each = varied.select("leaf", "kind", "first", "last", F.posexplode("tokens").alias("at", "token"))
+    each = varied.select("leaf", "kind", "first", "last", F.posexplode(F.split("line", " ")).alias("at", "token"))
     constant = _recurring(each.filter((F.col("at") >= DEPTH) & (F.col("token") != FIELD)), "leaf", "at", "token").select("leaf", "at", "token", F.lit(True).alias("constant"))
     told = each.join(constant, ["leaf", "at", "token"], "left")
     held = F.coalesce("constant", (F.col("at") < DEPTH) & (F.col("token") != FIELD))
@@ -79,18 +124,22 @@ def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, and ``n_lines`` and ``n_dropped``."""
-    slim = materialise(_lines(docs).drop("tokens"))
+    slim = materialise(_lines(docs, with_text=False))
     found = templates(docs, slim)
     dropped = slim.join(found, ["leaf", "kind"]).filter(F.col("_doc") > F.col("first"))
-    drops = dropped.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_drops"))  # no more than a text has lines
-    rows = null_safe(docs.withColumn("_text", F.xxhash64("text")), drops, ["doc_id", "_text"], "left")
+    drops = dropped.groupBy("_doc", "_text").agg(F.collect_set("pos").alias("_drops"))  # no more than a text has lines
+    rows = docs.withColumns(_document_key()).join(drops, ["_doc", "_text"], "left")
     all_lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_drops"))
-    kept = F.array_join(F.transform(left, lambda k: F.get(all_lines, k)), "\n")
+
+    def without_drops(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+        return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+    kept = let(all_lines, without_drops)
     return rows.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("long"),
             "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"),
             "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("_text", "_drops")
+    ).drop("_doc", "_text", "_drops").select(*docs.columns, "n_lines", "n_dropped")
