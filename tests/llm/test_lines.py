@@ -46,3 +46,12 @@ def test_edges(spark, messy, empty):
     assert all(r.n_dropped == 0 and r.rank == 9 for r in rows)
     got = run(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f\n\nz"), (1, "a b c d e f\n\nz")])
     assert sorted((r.doc_id is None, r.text) for r in got.values()) == [(False, "a b c d e f\n\nz")] * 2 + [(True, "")] * 2
+
+
+def test_lines_of_numbers_stay_whatever_else_is_there(spark):
+    rows = [(1, "1 2 3 4 5\nrow 17 has 4 of 9"), (2, "6 7 8 9 10\nrow 18 has 5 of 8")]
+    for more in ([], [(3, "11 12 13 words here\nrow 19 has none of it")]):
+        got = {k[0]: r for k, r in run(spark, rows + more).items()}
+        assert all(got[k].n_dropped == 0 and got[k].text == t for k, t in rows)
+    steady = [(1, "total of this page is 7 items"), (2, "total of this page is 9 items")]
+    assert [r.n_dropped for r in run(spark, steady).values()] == [0, 1]

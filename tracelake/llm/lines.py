@@ -3,7 +3,8 @@
 A line is cut into tokens, and a token with a digit is a variable field.  The tree has three levels: the number of tokens,
 then the first ``DEPTH`` tokens; its leaves hold the lines that agree in these.  In a leaf, a token that stands at its place
 in two documents or more is constant, all others are variable fields, and the line with its fields blanked is its
-template, provided that constants make up at least ``SIMILAR`` of it.  Where a template occurs in two documents or more,
+template, provided that constants make up at least ``SIMILAR`` of it.  The gate holds for every leaf, also for one whose lines are
+all of one kind.  Where a template occurs in two documents or more,
 its lines stay in the first of them (by doc_id) and are dropped from all others.
 
 All of it is DataFrame work.  A document is known by its doc_id and a hash of its text; lines travel as hashes, and
@@ -54,8 +55,14 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBER, FIELD)).otherwise(line)
 
 
+def _steady(line: Column, n: Column) -> Column:
+    """Whether tokens that are no field make up enough of a line; a line without a field costs no count."""
+    fields = F.size(F.filter(F.split(line, " "), lambda t: t == FIELD))
+    return F.when(F.contains(line, F.lit(FIELD)), n - fields >= SIMILAR * n).otherwise(True)
+
+
 def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(_doc, _text, pos, leaf, kind) and, if wanted, ``line`` of every line that is long enough, number fields blanked.
+    """(_doc, _text, pos, leaf, kind, steady) and, if wanted, ``line`` of every line that is long enough, number fields blanked.
 
     The steps run inside the array of lines, so that each is done once for a line; as columns they would be repeated by
     every filter and key that uses them.
@@ -67,7 +74,7 @@ def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
 
     def keyed(x: Column) -> Column:
         leaf = F.xxhash64(x["n"], F.substring_index(x["line"], " ", DEPTH))
-        fields = [x["pos"].alias("pos"), leaf.alias("leaf"), F.xxhash64(x["line"]).alias("kind")]
+        fields = [x["pos"].alias("pos"), leaf.alias("leaf"), F.xxhash64(x["line"]).alias("kind"), _steady(x["line"], x["n"]).alias("steady")]
         return F.struct(*fields, *[x["line"].alias("line")] * with_text)
 
     return docs.select(*[c.alias(n) for n, c in _document_key().items()], F.inline(F.transform(lines, keyed)))
@@ -98,13 +105,13 @@ def templates(docs: DataFrame, slim: DataFrame) -> DataFrame:
 
     ``slim`` has the leaf and kind of every line of ``docs``.
     """
-    kinds = slim.groupBy("leaf", "kind").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
+    kinds = slim.groupBy("leaf", "kind").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.first("steady").alias("steady"))
     kinds = materialise(kinds)
     leaves = kinds.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = materialise(leaves.filter((F.col("first") < F.col("last")) & (F.col("n") > 1)).select("leaf"))
-    # A leaf of one kind is its own template.
+    # A leaf of one kind is its own template, whose constants are all tokens but the number fields.
     alone = leaves.filter((F.col("first") < F.col("last")) & (F.col("n") == 1)).select("leaf")
-    alone = kinds.join(alone, "leaf", "left_semi").select("leaf", "kind", "first")
+    alone = kinds.filter("steady").join(alone, "leaf", "left_semi").select("leaf", "kind", "first")
     varied = materialise(
         _among(_lines(docs, with_text=True).select("leaf", "kind", "line", "_doc"), shared)
         .groupBy("leaf", "kind", "line").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
