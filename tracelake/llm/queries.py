@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, fim, hosts, language, lines, mixing, quality, search, shards, simhash, wrappers
+from tracelake.llm import bpe, fim, hosts, language, lines, mixing, positive, quality, search, shards, simhash, wrappers
 from tracelake.llm.common import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -277,3 +277,8 @@ FROM parts"""
 @query("op13_piece_table_fim", _FIM_SQL)
 def piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"], with_output=False)
+
+
+@query("op12_positive_unlabelled")
+def positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positive.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
