@@ -38,4 +38,4 @@ def test_no_documents(spark, empty, tmp_path):
 def test_queries_are_named():
     from tracelake.llm.queries import QUERIES
 
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
