@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches for Python are bounded by bytes too: texts can be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
