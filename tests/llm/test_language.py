@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tracelake.llm import language
@@ -50,3 +51,13 @@ def test_edges(spark, messy, empty):
     nothing = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.language_digest(nothing).first().lang_pred == "und"
     assert language.known_language(messy).columns == messy.columns
+    named = messy.withColumns({"score": F.lit("own"), "lang_pred": F.lit(7)})
+    kept = language.known_language(named)
+    assert kept.columns == named.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {("own", 7)}
+
+
+def test_a_sample_draws_copies_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    docs = spark.createDataFrame([(k, "the same text", "x") for k in range(400)] + [(k, f"other {k}", "y") for k in range(400, 420)], "doc_id long, text string, lang string")
+    filters = language.learn(docs)
+    assert filters.languages == ["x", "y"] and filters.judge("the same text")[0] == "x" and filters.judge("other")[0] == "y"

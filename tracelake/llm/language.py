@@ -17,6 +17,7 @@ long; equal rows get equal results.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,9 +104,10 @@ class Filters:
 def learn(docs: DataFrame) -> Filters:
     """Filters from ``text`` and non-null ``lang``.
 
-    Learning texts of a language are a sample of about ``SAMPLE`` by hash of the text.  Each task counts n-grams by
-    language before the shuffle; a language's common n-grams number at most the mean per text over ``COMMON``.  Only the
-    finished slices, of fixed size, reach the driver.
+    Learning texts of a language are a sample of about ``SAMPLE``, drawn by hash of text and doc_id, so that copies are
+    drawn one by one; only n-gram counts are shuffled.  Each task counts n-grams by language before that; a language's
+    common n-grams number at most the mean per text over ``COMMON``.  Only the finished slices, of fixed size, reach the
+    driver.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row per language
@@ -113,9 +115,10 @@ def learn(docs: DataFrame) -> Filters:
         return Filters([], np.zeros((1, PLACES), np.uint64))
     number = {r["lang"]: k for k, r in enumerate(sizes)}
     spark = docs.sparkSession
-    kept = spark.createDataFrame([(r["lang"], k, min(1.0, SAMPLE / r["n"])) for k, r in enumerate(sizes)], "lang string, k int, rate double")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(kept, "lang").filter(draw < F.col("rate")).select("k", "text")
+    rates = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.struct(F.lit(k).alias("k"), F.lit(min(1.0, SAMPLE / r["n"])).alias("rate"))) for k, r in enumerate(sizes)))
+    draw = F.pmod(F.xxhash64(*[c for c in ("text", "doc_id") if c in docs.columns]), F.lit(1 << 30)) / float(1 << 30)
+    # The map is a literal, so texts that are not drawn go before anything is shuffled.
+    sample = rows.withColumn("_of", rates[F.col("lang")]).filter(draw < F.col("_of.rate")).select(F.col("_of.k").alias("k"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +171,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and judges all."""
-    filters = learn(docs.filter(~held_out()).select("text", "lang"))
+    filters = learn(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(rows, filters).drop("text")
 
@@ -178,8 +181,12 @@ LEAST_SHARE = 0.3
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language is determined; others go."""
-    names = docs.columns
-    filters = learn(docs.filter(~held_out()).select("text", "lang"))
-    judged = identify(docs.select(*names), filters)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*names)
+    """The rows, as they are, of documents whose language is determined; others go."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(~held_out()).select("doc_id", "text", "lang")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = (shared.value.judge(t.as_py()) for t in batch.column("text"))
+            yield batch.filter(pa.array([lang != "und" and share >= LEAST_SHARE for lang, share in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
