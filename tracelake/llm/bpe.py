@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 #: Distinct pre-tokens that a worker keeps with their ids (it starts anew beyond), the longest it keeps, and the
 #: characters of texts that are encoded together.  They bound memory; every token is encoded.
-KEPT, KEPT_CHARS, GROUP_CHARS = 100_000, 40, 1_000_000
+KEPT, KEPT_CHARS, GROUP_CHARS = 50_000, 40, 250_000
 
 
 def byte_chars() -> list[str]:

@@ -33,7 +33,7 @@ COMMON = 0.01
 #: Learning texts of a language are a hash sample of about so many.
 SAMPLE = 5_000
 #: Code points that are turned to n-grams together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _LETTER = np.zeros(0x110000, bool)
