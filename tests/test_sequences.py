@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.operators import full_history as FH
 from tracelake.operators import sequences as S
 from tracelake.plans import ranks
 from tracelake.plans.frames import history
@@ -107,16 +108,16 @@ def test_band_and_distance_match_numpy(spark):
 
 
 def test_full_history_distance(spark):
-    n = 30
-    sims = np.random.default_rng(2).uniform(-1, 1, size=(n, n))
-    df = spark.createDataFrame([("u", i) for i in range(n)], "user_id string, pos int")
-    pairs = S.full_history_pairs(df, ["pos"], tile=8)
-    table = spark.createDataFrame([(t, i, float(sims[i, t])) for t in range(n) for i in range(t)], "pos int, h_pos int, cos double")
-    got = S.softmax_distance_time(pairs.join(table, ["pos", "h_pos"])).collect()
-    assert len(got) == n * (n - 1) // 2
+    rng = np.random.default_rng(2)
+    vec = {u: rng.normal(size=(n, 4)) for u, n in (("u", 30), ("v", 1), ("w", 9))}
+    vec = {u: x / np.linalg.norm(x, axis=1)[:, None] for u, x in vec.items()}
+    df = spark.createDataFrame([(u, i, [float(y) for y in v]) for u, x in vec.items() for i, v in enumerate(x)], "user_id string, pos long, vec array<double>")
+    got = FH.distance_sums(df, 0.05, tile=8).collect()
+    assert len(got) == 29 + 8
     for r in got:
-        e = np.exp(sims[: r.pos, r.pos])
-        assert r.d == pytest.approx((r.pos - r.h_pos) * e[r.h_pos + 1 :].sum() / e.sum())
+        e = np.exp(vec[r.user_id][: r.pos] @ vec[r.user_id][r.pos])
+        d = [(r.pos - i) * e[i + 1 :].sum() / e.sum() for i in range(r.pos)]
+        assert (r.d_sum, r.decay_sum, r.n) == (pytest.approx(sum(d)), pytest.approx(np.exp(-0.05 * np.array(d)).sum()), r.pos)
 
 
 def test_old_history_for_new(spark):

@@ -151,49 +151,6 @@ def distance_time(banded: DataFrame, alpha: float = ALPHA_TIME) -> DataFrame:
     return long.withColumn("t_decay", F.exp(-alpha * F.col("dtc")))
 
 
-def full_history_pairs(rows: DataFrame, cols: Sequence[str], tile: int = 256) -> DataFrame:
-    """Every (target, earlier log) pair of a user, grouped by tiles of earlier positions.
-
-    Full-history softmax is quadratic per user by definition.  Tiles keep each
-    group bounded: a target is repeated once per tile of its past, and a tile
-    holds at most ``tile`` logs, so a long user is spread over many tasks.
-    """
-    old = rows.select("user_id", F.floor(F.col("pos") / tile).alias("tile"), *[F.col(c).alias(f"h_{c}") for c in cols])
-    targets = rows.filter(F.col("pos") > 0).withColumn(
-        "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pos") - 1) / tile)))
-    )
-    return targets.join(old, ["user_id", "tile"]).filter(F.col("h_pos") < F.col("pos"))
-
-
-def softmax_distance_time(pairs: DataFrame, rate: float = TIME_DECAY) -> DataFrame:
-    """Adds ``d`` and ``t_decay`` of the full-history variant to tiled pairs with ``cos``.
-
-    ``d = (t - i) * sum of softmax weights of the logs between i and t``.
-    Cosines are at most 1, so the softmax needs no max shift.
-    """
-    pairs = pairs.withColumn("_e", F.exp("cos"))
-    tiles = pairs.groupBy("user_id", "pos", "tile").agg(F.sum("_e").alias("_sum"))
-    per_target = Window.partitionBy("user_id", "pos")
-    later = per_target.orderBy(F.desc("tile")).rowsBetween(Window.unboundedPreceding, -1)
-    tiles = tiles.select(
-        "user_id",
-        "pos",
-        "tile",
-        F.sum("_sum").over(per_target).alias("_total"),
-        F.coalesce(F.sum("_sum").over(later), F.lit(0.0)).alias("_after"),
-    )
-    inside = (
-        Window.partitionBy("user_id", "pos", "tile").orderBy(F.desc("h_pos")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    tail = F.coalesce(F.sum("_e").over(inside), F.lit(0.0)) + F.col("_after")
-    return (
-        pairs.join(tiles, ["user_id", "pos", "tile"])
-        .withColumn("d", (F.col("pos") - F.col("h_pos")) * tail / F.col("_total"))
-        .withColumn("t_decay", F.exp(-rate * F.col("d")))
-        .drop("_e", "_total", "_after")
-    )
-
-
 # -- chunks and training layouts ---------------------------------------------
 
 

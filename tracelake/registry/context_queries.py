@@ -12,8 +12,8 @@ from tracelake.operators import sequences as S
 from tracelake.operators import text_vectors as E
 from tracelake.registry.base import CATALOG, INTER, VECS, query
 from tracelake.registry.evidence_queries import RECORDS, SELECTED, SUMMARY, contexts
-from tracelake.registry.graph_queries import HOPS, PAIRS, stat_edges
-from tracelake.registry.retrieval_queries import _LAST, _heuristic_sql, profiled, stored_neighbors
+from tracelake.registry.graph_queries import HOPS, PAIRS, REACH, stat_edges
+from tracelake.registry.retrieval_queries import NEIGHBORS, _LAST, _heuristic_sql, profiled, stored_neighbors
 from tracelake.session import materialise
 from tracelake.sources import driver_tables as D
 
@@ -69,12 +69,51 @@ def legacy_selected(spark, sf):
     return L.select(legacy_scored(spark, sf, profile), profile, L.node_sets(D.catalog(spark, sf), stat_edges(spark, sf)))
 
 
+def _legacy_picks(picks: int = 4) -> str:
+    """The sequential choice as a chain of table expressions: c holds what is left, b what is picked, t what is covered."""
+    out = [
+        f"""{REACH},
+rs AS (SELECT c.problem_id, list(DISTINCT node) AS reach FROM cc c JOIN r3 ON r3.seed = c.concept GROUP BY ALL),
+os AS (SELECT problem_id, list(DISTINCT node) AS outward FROM (SELECT problem_id, concept AS node FROM cc
+  UNION ALL SELECT c.problem_id, phi.dst FROM cc c JOIN phi ON phi.src = c.concept WHERE phi.phi > 0) GROUP BY ALL),
+c0 AS MATERIALIZED (SELECT l.user_id, l.pos, l.problem_id, l.h_pos, l.h_problem_id, l.r AS h_is_correct, l.rank AS place, l.u, l.lam * l.scf AS co, (l.sp > 0)::INT + 2 * (l.sm > 0)::INT + 4 * (l.sh > 0)::INT + 8 * (l.sg > 0)::INT AS act,
+  list_intersect(h.concepts, t.concepts) AS overlap, list_intersect(os.outward, rs.reach) AS nodes, h.concepts, v.vec, NULL::DOUBLE AS red, len(t.concepts) AS nc, len(rs.reach) AS nn
+  FROM leg l JOIN catalog h ON l.h_problem_id = h.problem_id JOIN catalog t ON l.problem_id = t.problem_id JOIN os ON os.problem_id = l.h_problem_id
+  JOIN rs ON rs.problem_id = l.problem_id JOIN unit v ON v.problem_id = l.h_problem_id)""",
+        "b1 AS MATERIALIZED (SELECT *, u AS f, 1 AS nth FROM c0 QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY u DESC, place) = 1)",
+        "t1 AS (SELECT user_id, pos, act AS roles, overlap AS seen, nodes AS visited FROM b1)",
+    ]
+    for k in range(1, picks):
+        out.append(f"""c{k} AS MATERIALIZED (SELECT c.* REPLACE (greatest(c.red,
+    len(list_intersect(c.concepts, b.concepts)) / len(list_distinct(list_concat(c.concepts, b.concepts)))
+    + bit_count(c.act & b.act) / (bit_count(c.act) * bit_count(b.act) + 1e-6) + 0.2 * list_inner_product(c.vec, b.vec)) AS red)
+  FROM c{k - 1} c JOIN b{k} b USING (user_id, pos) WHERE c.place <> b.place)""")
+        out.append(f"""b{k + 1} AS MATERIALIZED (SELECT c.*, u + bit_count(act & 7 & ~roles) + len(list_filter(overlap, lambda x: NOT list_contains(seen, x))) / (nc + 1e-6)
+  + len(list_filter(nodes, lambda x: NOT list_contains(visited, x))) / (nn + 1e-6) - 0.5 * red AS f, {k + 1} AS nth FROM c{k} c JOIN t{k} USING (user_id, pos)
+  QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY f DESC, place) = 1)""")
+        out.append(f"""t{k + 1} AS (SELECT t.user_id, t.pos, t.roles | b.act AS roles, list_concat(t.seen, b.overlap) AS seen, list_concat(t.visited, b.nodes) AS visited
+  FROM t{k} t JOIN b{k + 1} b USING (user_id, pos))""")
+    names = "user_id, pos, h_pos, h_problem_id, h_is_correct, u, co, act, nodes, f, nth"
+    union = " UNION ALL ".join(f"SELECT {names} FROM b{k}" for k in range(1, picks + 1))
+    return ",\n".join(out) + f",\npicked AS MATERIALIZED ({union})"
+
+
+@query(
+    "legacy_select",
+    f"WITH {LEGACY}, {_legacy_picks()} SELECT user_id, pos, CAST(nth AS BIGINT) AS rank, h_pos, round(u, 6) AS u, round(f, 6) AS support FROM picked",
+)
+def legacy_select(spark, sf):
+    """All picks of the greedy choice with their scores at selection."""
+    out = legacy_selected(spark, sf).select("user_id", *_long("pos"), F.explode("evidence").alias("e"))
+    return out.select("user_id", "pos", F.col("e.rank").cast("bigint").alias("rank"), F.col("e.pos").cast("bigint").alias("h_pos"), *[(F.round(f"e.{c}", 6) + 0.0).alias(c) for c in ("u", "support")])
+
+
 @query(
     "legacy_select_counts",
     f"WITH {LEGACY} SELECT user_id, pos, CAST(least(4, count(*)) AS BIGINT) AS chosen, round(max(u), 6) AS first_u FROM leg GROUP BY ALL",
 )
 def legacy_select_counts(spark, sf):
-    """Sizes and first picks of the greedy choice; the full choice is checked by brute force in the tests."""
+    """Sizes and first picks of the greedy choice."""
     out = legacy_selected(spark, sf)
     return out.select("user_id", *_long("pos"), F.size("evidence").cast("bigint").alias("chosen"), F.round(F.col("evidence")[0]["u"], 6).alias("first_u"))
 
@@ -87,19 +126,28 @@ def cards(spark, sf, unknown=C.UNKNOWN_LABEL):
     return C.problem_cards(D.catalog(spark, sf), labels(spark, sf), stored_neighbors(spark, sf), unknown)
 
 
-@query("legacy_contexts")
+_CARDS = """cards AS (SELECT c.problem_id, replace(text, ' ', '-') AS label, text, level, array_to_string(concepts, '|') AS cons,
+  (SELECT string_agg(replace(k.text, ' ', '-'), '、' ORDER BY n.rank) FROM neighbors n JOIN catalog k ON n.neighbor_id = k.problem_id WHERE n.problem_id = c.problem_id AND n.rank <= 3) AS near
+  FROM catalog c)"""
+
+
+@query(
+    "legacy_contexts",
+    f"""WITH {LEGACY}, {_legacy_picks()}, {NEIGHBORS}, {_CARDS},
+told AS (SELECT p.*, label, text, level, near, list_filter([CASE WHEN act & 1 > 0 THEN '前置支撑' END, CASE WHEN act & 2 > 0 THEN '同质迁移' END, CASE WHEN act & 4 > 0 THEN '高阶佐证' END,
+    CASE WHEN act & 8 > 0 THEN '图谱扩展' END, CASE WHEN co > 0.15 THEN '协同补充' END], lambda x: x IS NOT NULL) AS tags FROM picked p JOIN cards ON cards.problem_id = p.h_problem_id)
+SELECT user_id, pos, '[GLOBAL SUMMARY]' || chr(10) || string_agg('[EVIDENCE ' || nth || ']' || chr(10) || 'Question ID: ' || label || chr(10) || 'Primary Rank: ' || nth || chr(10)
+  || 'Support: ' || CASE WHEN len(tags) > 0 THEN array_to_string(tags, ' / ') ELSE '弱匹配' END || chr(10) || 'Structural: ' || CASE WHEN len(nodes) > 0 THEN array_to_string(list_sort(nodes)[1:5], '、') ELSE '无' END || chr(10)
+  || 'Collaborative: ' || coalesce(near, '无') || chr(10) || 'Cognitive: Level=' || level || chr(10) || 'Content: ' || CASE WHEN text = '' THEN '无可用内容' ELSE replace(substr(text, 1, 200), chr(10), ' ') END || chr(10)
+  || 'Result: ' || CASE WHEN h_is_correct = 1 THEN '正确' ELSE '错误' END, chr(10) ORDER BY nth) AS context_text FROM told GROUP BY ALL""",
+)
 def legacy_contexts(spark, sf):
     """Evidence blocks of the legacy variant, one text per target."""
-    return C.block_contexts(legacy_selected(spark, sf), cards(spark, sf, "Unknown"))
+    return C.block_contexts(legacy_selected(spark, sf), cards(spark, sf, "Unknown")).select("user_id", *_long("pos"), "context_text")
 
 
 # -- heuristic contexts and prompts ------------------------------------------
 
-_CARDS = """cards AS (SELECT c.problem_id, replace(text, ' ', '-') AS label, text, level, array_to_string(concepts, '|') AS cons,
-  (SELECT string_agg(replace(k.text, ' ', '-'), '、' ORDER BY n.rank) FROM neighbors n JOIN catalog k ON n.neighbor_id = k.problem_id WHERE n.problem_id = c.problem_id AND n.rank <= 3) AS near
-  FROM catalog c)"""
-
-
 def _sentence_sql() -> str:
     base = _heuristic_sql("SELECT * FROM inter").rsplit("SELECT user_id", 1)[0]
     return f"""{base}, {_CARDS}, g AS (SELECT user_id, pos, h_problem_id, h_is_correct, row_number() OVER (PARTITION BY user_id, pos ORDER BY score DESC, h_pos) AS rank FROM f WHERE score > 0 QUALIFY rank <= 4)

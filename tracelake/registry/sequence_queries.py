@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import vectors as V
 from tracelake.functions.keys import hash_bucket
+from tracelake.operators import full_history as FH
 from tracelake.operators import sequences as S
 from tracelake.plans.frames import history_rows
 from tracelake.registry.base import CATALOG, INTER, LOGS, PAIRS20, VECS, query
@@ -257,12 +258,8 @@ d AS (SELECT *, (pos - h_pos) * coalesce(sum(gamma) OVER (PARTITION BY user_id,
 SELECT user_id, pos, round(sum(d), 6) AS d_sum, round(sum(exp(-0.05 * d)), 6) AS decay_sum, count(*) AS n FROM d GROUP BY ALL""",
 )
 def softmax_distance_time(spark, sf):
-    rows = featured(spark, sf)
-    pairs = S.full_history_pairs(rows, ["pos", "vec"]).withColumn("cos", V.dot(F.col("vec"), F.col("h_vec"))).drop("vec", "h_vec")
-    out = S.softmax_distance_time(pairs).groupBy("user_id", "pos").agg(
-        F.round(F.sum("d"), 6).alias("d_sum"), F.round(F.sum("t_decay"), 6).alias("decay_sum"), F.count(F.lit(1)).alias("n")
-    )
-    return out.select("user_id", *_long("pos"), "d_sum", "decay_sum", "n")
+    out = FH.distance_sums(featured(spark, sf), S.TIME_DECAY)
+    return out.select("user_id", *_long("pos"), F.round("d_sum", 6).alias("d_sum"), F.round("decay_sum", 6).alias("decay_sum"), "n")
 
 
 @query(
