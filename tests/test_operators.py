@@ -133,6 +133,33 @@ def test_item_neighbors_and_cap(spark):
     assert got["p3", 1][0] == "p1" and ("p5", 1) not in got
 
 
+@pytest.mark.parametrize("light", [0, 2, 6, 50])
+def test_item_neighbors_leave_out_no_user(spark, light):
+    rng = random.Random(light)
+    held = {u: {f"p{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 4, 9, 30]))} for u in range(40)}
+    held["twin"], held["twin2"] = {"rare", "rarer"}, {"rare", "rarer", *(f"p{k}" for k in range(40))}
+    df = spark.createDataFrame([(str(u), p) for u, ps in held.items() for p in ps for _ in range(rng.randrange(1, 3))], "user_id string, problem_id string")
+    users = {}
+    for u, ps in held.items():
+        for p in ps:
+            users.setdefault(p, set()).add(u)
+    want = {}
+    for p, mine in users.items():
+        scored = sorted((-len(mine & users[q]) / len(mine | users[q]), q) for q in users if q != p and mine & users[q])
+        want[p] = [(q, pytest.approx(-s)) for s, q in scored[:3]]
+    got = {}
+    for r in O.item_neighbors(df, [], k=3, light=light).orderBy("problem_id", "rank").collect():
+        got.setdefault(r.problem_id, []).append((r.neighbor_id, r.score))
+    assert got == want
+
+
+def test_chunks_of_a_large_key_lose_no_pair(spark):
+    rows = [("big", v) for v in range(23)] * 2 + [("small", v) for v in (1, 2)] + [("one", 1), ("none", None), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = sorted((r.a, r.b) for r in O.pairs_of_sorted(df, "k", "v", chunk=5).collect())
+    assert got == sorted([(a, b) for a in range(23) for b in range(a + 1, 23)] + [(1, 2), (3, 4)])
+
+
 def test_stat_edges_cap_levels_and_hops(spark):
     pairs = spark.createDataFrame([("a", "b", 49), ("a", "c", 50), ("b", "c", 200), ("c", "d", 500)], "a string, b string, freq bigint")
     levels = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 1)], "concept string, level int")

@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.sequences import distinct_prefix
 from tracelake.plans.frames import history
+from tracelake.session import materialise
 
 NEIGHBOR_K = 5
+#: Values of a key in one array, and problems of a user up to which all pairs are formed.
+CHUNK, LIGHT = 512, 1024
 
 
-def pairs_of_sorted(items: DataFrame, key: str, value: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Unordered pairs ``a < b`` of the distinct values of one key, without a self-join.
+def pairs_of_sorted(items: DataFrame, key: str, value: str, names: tuple[str, str] = ("a", "b"), chunk: int = CHUNK) -> DataFrame:
+    """Unordered pairs ``a < b`` of the distinct values of one key.
 
-    Meant for keys whose set is small by definition (the distinct-problem
-    prefix of a user, the concepts of a problem): the set travels as one
-    array and pairs appear only right above the aggregate that counts them.
+    A key's values travel as arrays, and pairs appear only right above the aggregate that counts them.  A key of more than
+    ``chunk`` values has them dealt into chunks by hash, and each two chunks meet in a row of their own, so that no array
+    grows with a key.
     """
-    sets = items.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("_set"))
+    items = items.select(key, value).filter(F.col(value).isNotNull()).distinct()
+    large = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk)
+    dealt = items.join(large, key, "left").withColumn("_chunk", F.pmod(F.xxhash64(value), F.ceil(F.coalesce("_n", F.lit(1)) / chunk)))
+    sets = dealt.groupBy(key, "_chunk").agg(F.sort_array(F.collect_list(value)).alias("_set"), F.first("_n").alias("_n"))
     left = sets.select(key, "_set", F.posexplode("_set").alias("_k", names[0]))
     tail = F.slice("_set", F.col("_k") + 2, F.greatest(F.size("_set"), F.lit(1)))
-    return left.select(key, names[0], F.explode(tail).alias(names[1]))
+    inside = left.select(names[0], F.explode(tail).alias(names[1]))
+    parts = sets.filter(F.col("_n").isNotNull()).select(key, "_chunk", "_set")
+    across = parts.alias("l").join(parts.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._chunk") < F.col("r._chunk")))
+    across = across.select(F.explode("l._set").alias("x"), F.col("r._set").alias("_other")).select("x", F.explode("_other").alias("y"))
+    return inside.unionByName(across.select(F.least("x", "y").alias(names[0]), F.greatest("x", "y").alias(names[1])))
 
 
 def item_pairs(prefix: DataFrame) -> DataFrame:
@@ -35,24 +45,61 @@ def item_support(prefix: DataFrame) -> DataFrame:
     return prefix.groupBy("problem_id").agg(F.count(F.lit(1)).alias("users"))
 
 
-def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, cap: int | None = None) -> DataFrame:
+def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, cap: int | None = None, light: int = LIGHT) -> DataFrame:
     """(problem_id, rank, neighbor_id, score): the ``k`` problems with the highest user Jaccard.
 
     With ``cap``, the measure is over the first ``cap`` distinct problems of each user.
+
+    Users of at most ``light`` problems give pairs, which are counted.  The counts alone bound scores from below, so a
+    problem's k-th of these is a threshold.  A problem that reaches it shares so many users that one of them is among the
+    problem's first users, light ones taken first (prefix filter); only where these reach into the others, more pairs are
+    looked up.  The users left out are added for those pairs whose sizes let them still reach the threshold.  So a user
+    with very many problems gives no pairs of his own, and no result is lost.
     """
     # Pairs are counted by hashed ids; names come back with the supports.
-    prefix = distinct_prefix(logs, order, cap).withColumn("_id", F.xxhash64("problem_id"))
+    prefix = materialise(distinct_prefix(logs, order, cap).select("user_id", "problem_id", F.xxhash64("problem_id").alias("_id")))
     support = prefix.groupBy("_id", "problem_id").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = pairs_of_sorted(prefix, "user_id", "_id", ("_a", "_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("inter"))
+    heavy = materialise(prefix.groupBy("user_id").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > light))
+    few = prefix.join(heavy, "user_id", "left_anti")
+    pairs = pairs_of_sorted(few, "user_id", "_id", ("_a", "_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("inter"))
     for side in ("a", "b"):
         pairs = pairs.join(support.select(F.col("_id").alias(f"_{side}"), F.col("problem_id").alias(side), F.col("_n").alias(f"_n{side}")), f"_{side}")
-    pairs = pairs.withColumn("score", F.col("inter") / (F.col("_na") + F.col("_nb") - F.col("inter")))
-    both = pairs.select(
-        "score",
-        F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("n")), F.struct(F.col("b").alias("p"), F.col("a").alias("n")))).alias("_e"),
-    ).select(F.col("_e.p").alias("problem_id"), F.col("_e.n").alias("neighbor_id"), "score")
+    ends = [F.struct(F.col(x).alias("problem_id"), F.col(f"_n{x}").alias("n_p"), F.col(y).alias("neighbor_id"), F.col(f"_n{y}").alias("n_q")) for x, y in ("ab", "ba")]
+    both = pairs.select("inter", F.explode(F.array(*ends)).alias("_e")).select("_e.*", "inter")
+    if heavy.limit(1).count():
+        both = _with_heavy_users(both, prefix.join(heavy, "user_id").select("user_id", "_size", "problem_id"), support, k)
+    return _best(both, k).select("problem_id", "rank", "neighbor_id", "score")
+
+
+def _best(both: DataFrame, k: int) -> DataFrame:
+    scored = both.withColumn("score", F.col("inter") / (F.col("n_p") + F.col("n_q") - F.col("inter")))
     rank = F.row_number().over(Window.partitionBy("problem_id").orderBy(F.desc("score"), "neighbor_id"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("problem_id", "rank", "neighbor_id", "score")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _with_heavy_users(both: DataFrame, held: DataFrame, support: DataFrame, k: int) -> DataFrame:
+    """``both`` with the users of ``held`` counted too, for all pairs that can be among the ``k`` best of their first problem."""
+    both = materialise(both)
+    sizes = support.select("problem_id", F.col("_n").alias("n")).join(held.groupBy("problem_id").agg(F.count(F.lit(1)).alias("held")), "problem_id", "left")
+    floors = _best(both, k).filter(F.col("rank") == k).select("problem_id", F.col("score").alias("floor"))
+    sizes = sizes.join(floors, "problem_id", "left").fillna(0, ["held"]).fillna(0.0, ["floor"])
+    # Users of a problem that must be looked up so that none who reaches the floor is missed; light ones come first.
+    sizes = materialise(sizes.withColumn("more", F.col("n") - F.ceil(F.col("floor") * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("held"))))
+    place = F.row_number().over(Window.partitionBy("problem_id").orderBy("_size", "user_id"))
+    first = held.join(sizes.filter(F.col("more") > 0).select("problem_id", "more"), "problem_id").withColumn("_place", place).filter(F.col("_place") <= F.col("more"))
+    found = first.select("user_id", "problem_id").join(held.select("user_id", F.col("problem_id").alias("neighbor_id")), "user_id")
+    found = found.filter(F.col("problem_id") != F.col("neighbor_id")).select("problem_id", "neighbor_id").distinct()
+    known = both.select("problem_id", "neighbor_id", "inter").unionByName(found.withColumn("inter", F.lit(0).cast("long")))
+    known = known.groupBy("problem_id", "neighbor_id").agg(F.sum("inter").alias("inter"))
+    p = sizes.select("problem_id", F.col("n").alias("n_p"), F.col("held").alias("held_p"), "floor")
+    q = sizes.select(F.col("problem_id").alias("neighbor_id"), F.col("n").alias("n_q"), F.col("held").alias("held_q"))
+    most = F.col("inter") + F.least("held_p", "held_q")
+    able = known.join(p, "problem_id").join(q, "neighbor_id").filter(most >= F.col("floor") * (F.col("n_p") + F.col("n_q") - most) - 1e-9)
+    able = materialise(able.select("problem_id", "neighbor_id", "n_p", "n_q", "inter"))
+    shared = able.select("problem_id", "neighbor_id").join(held.select("problem_id", "user_id"), "problem_id")
+    shared = shared.join(held.select(F.col("problem_id").alias("neighbor_id"), "user_id"), ["neighbor_id", "user_id"]).groupBy("problem_id", "neighbor_id").agg(F.count(F.lit(1)).alias("_more"))
+    full = able.join(shared, ["problem_id", "neighbor_id"], "left").withColumn("inter", F.col("inter") + F.coalesce("_more", F.lit(0)))
+    return full.drop("_more").filter(F.col("inter") > 0)
 
 
 def fill_neighbors(neighbors: DataFrame, catalog: DataFrame, labels: DataFrame, k: int = NEIGHBOR_K) -> DataFrame:
