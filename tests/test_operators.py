@@ -115,8 +115,8 @@ def test_heuristic_deep_search_equals_full_scan(spark):
     near = spark.createDataFrame([("p1", 1, "p2", 0.5), ("p3", 1, "p30", 0.4)], "problem_id string, rank int, neighbor_id string, score double")
     profiled = R.with_profile(rows, catalog, near)
     key = lambda df: sorted((r.user_id, r.pos, r["rank"], r.h_pos, round(r.score, 12)) for r in df.collect())
-    wide = key(R.heuristic(profiled, horizon=200))
-    assert wide == key(R.heuristic(profiled, horizon=8))
+    wide = key(R.heuristic(profiled, tile=200))
+    assert wide == key(R.heuristic(profiled, tile=8))
     last = spark.createDataFrame([("hot", 89), ("b", 4)], "user_id string, pos int")
     assert key(R.heuristic_for_targets(profiled, last)) == [x for x in wide if (x[0], x[1]) in {("hot", 89), ("b", 4)}]
 

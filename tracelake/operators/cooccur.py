@@ -23,10 +23,10 @@ def pairs_of_sorted(items: DataFrame, key: str, value: str, names: tuple[str, st
     ``chunk`` values has them dealt into chunks by hash, and each two chunks meet in a row of their own, so that no array
     grows with a key.
     """
-    items = items.select(key, value).filter(F.col(value).isNotNull()).distinct()
+    items = items.select(key, value).filter(F.col(value).isNotNull())
     large = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk)
     dealt = items.join(large, key, "left").withColumn("_chunk", F.pmod(F.xxhash64(value), F.ceil(F.coalesce("_n", F.lit(1)) / chunk)))
-    sets = dealt.groupBy(key, "_chunk").agg(F.sort_array(F.collect_list(value)).alias("_set"), F.first("_n").alias("_n"))
+    sets = dealt.groupBy(key, "_chunk").agg(F.sort_array(F.collect_set(value)).alias("_set"), F.first("_n").alias("_n"))
     left = sets.select(key, "_set", F.posexplode("_set").alias("_k", names[0]))
     tail = F.slice("_set", F.col("_k") + 2, F.greatest(F.size("_set"), F.lit(1)))
     inside = left.select(names[0], F.explode(tail).alias(names[1]))
@@ -60,13 +60,14 @@ def item_neighbors(logs: DataFrame, order: Sequence[str], k: int = NEIGHBOR_K, c
     prefix = materialise(distinct_prefix(logs, order, cap).select("user_id", "problem_id", F.xxhash64("problem_id").alias("_id")))
     support = prefix.groupBy("_id", "problem_id").agg(F.count(F.lit(1)).alias("_n"))
     heavy = materialise(prefix.groupBy("user_id").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > light))
-    few = prefix.join(heavy, "user_id", "left_anti")
+    some = heavy.limit(1).count() > 0
+    few = prefix.join(heavy, "user_id", "left_anti") if some else prefix
     pairs = pairs_of_sorted(few, "user_id", "_id", ("_a", "_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("inter"))
     for side in ("a", "b"):
         pairs = pairs.join(support.select(F.col("_id").alias(f"_{side}"), F.col("problem_id").alias(side), F.col("_n").alias(f"_n{side}")), f"_{side}")
     ends = [F.struct(F.col(x).alias("problem_id"), F.col(f"_n{x}").alias("n_p"), F.col(y).alias("neighbor_id"), F.col(f"_n{y}").alias("n_q")) for x, y in ("ab", "ba")]
     both = pairs.select("inter", F.explode(F.array(*ends)).alias("_e")).select("_e.*", "inter")
-    if heavy.limit(1).count():
+    if some:
         both = _with_heavy_users(both, prefix.join(heavy, "user_id").select("user_id", "_size", "problem_id"), support, k)
     return _best(both, k).select("problem_id", "rank", "neighbor_id", "score")
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import vectors as V
 from tracelake.functions.keys import hash_order
+from tracelake.operators.full_history import Side, jaccard, meetings, members, over_runs, tiled
 from tracelake.operators.sequences import TIME_DECAY, position_decay
-from tracelake.plans.frames import history
 from tracelake.plans.ranks import global_rank
 from tracelake.session import materialise
 
@@ -25,8 +27,8 @@ BEST_SCORE = CONCEPT_WEIGHT + LOWER_LEVEL + NEIGHBOR_LOW
 # exp(-decay * lag) underflows to zero beyond this lag for any possible score,
 # and zero scores are not retrieved: older logs can never be a result.
 REACH = math.ceil((745.2 + math.log(BEST_SCORE)) / TIME_DECAY)
-# Logs that are always looked at, and positions in a block of older logs.
-HORIZON, OLD_BLOCK = 128, 1024
+# Positions in a tile of logs.
+SEARCH_TILE = 128
 
 
 def heuristic_score(overlap: Column, h_level: Column, h_problem: Column, use_levels: bool = True, use_neighbors: bool = True) -> Column:
@@ -69,52 +71,55 @@ def _top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _best_of_history(k: int, **flags: bool) -> Column:
-    """The best ``k`` of the row's ``history`` as structs (loss, h_pos, h_problem_id, h_is_correct), found inside the array."""
-    others = F.filter("history", lambda h: h["problem_id"] != F.col("problem_id"))
-
-    def item(h: Column) -> Column:
-        def with_overlap(overlap: Column) -> Column:
-            base = heuristic_score(overlap, h["level"], h["problem_id"], **flags)
-            loss = -position_decay(base, F.col("pos") - h["pos"])
-            return F.struct(loss.alias("loss"), h["pos"].alias("h_pos"), h["problem_id"].alias("h_problem_id"), h["is_correct"].alias("h_is_correct"))
-
-        return V.let(V.set_jaccard(h["concepts"], F.col("concepts")), with_overlap)
-
-    return F.slice(F.sort_array(F.filter(F.transform(others, item), lambda x: x["loss"] < 0)), 1, k)
+def _score_matrix(new: Side, old: Side, use_levels: bool = True, use_neighbors: bool = True) -> np.ndarray:
+    """:func:`heuristic_score` of every target and log of a meeting; 0 for logs of the target's own problem."""
+    score = CONCEPT_WEIGHT * jaccard(new, old, "concepts")
+    if use_levels:
+        mine, theirs = new.numbers("level")[:, None], old.numbers("level")[None, :]
+        both = (mine > 0) & (theirs > 0)
+        score = score + np.where(both & (theirs < mine), LOWER_LEVEL, np.where(both & (theirs == mine), EQUAL_LEVEL, 0.0))
+    known, at = np.unique(old.table.column("key").to_numpy(), return_inverse=True)
+    if use_neighbors:
+        listed = members(new, known, "neighbors")[:, at] > 0
+        score = score + np.where(listed, np.where(score < NEIGHBOR_SWITCH, NEIGHBOR_HIGH, NEIGHBOR_LOW), 0.0)
+    return np.where(new.table.column("key").to_numpy()[:, None] == known[at][None, :], 0.0, score)
 
 
-def heuristic(rows: DataFrame, k: int = TOP_K, horizon: int = HORIZON, **flags: bool) -> DataFrame:
+def heuristic(rows: DataFrame, k: int = TOP_K, tile: int = SEARCH_TILE, **flags: bool) -> DataFrame:
     """Best ``k`` earlier logs of every target, over its whole history.
 
-    ``rows`` come from :func:`with_profile` with dense positions.  Every target
-    looks back ``horizon`` logs.  A log at lag l scores at most
-    ``BEST_SCORE * exp(-decay * l)``, so a target whose k-th score is s needs no
-    log beyond the lag ln(BEST_SCORE / s) / decay; one that has to look further
-    than the horizon meets the blocks of its user's logs within that reach.
-    The result is that of the unlimited search, and no group grows with a user.
+    ``rows`` come from :func:`with_profile` with dense positions.  Every target meets its own tile of positions and the one
+    before, as matrices over the tiles' concepts (known by hashes, like problems).  A log at lag l scores at most
+    ``BEST_SCORE * exp(-decay * l)``, so a target whose k-th score is s needs no log beyond the lag
+    ln(BEST_SCORE / s) / decay, and meets older tiles within that reach only.  The result is that of the unlimited search,
+    and no group grows with a user.
     """
-    near = materialise(
-        history(rows, horizon, list(_H)).select("user_id", "pos", "problem_id", "concepts", "level", "neighbors", _best_of_history(k, **flags).alias("best"))
-    )
-    worst = -F.get("best", F.lit(k - 1))["loss"]
-    reach = F.least(F.lit(REACH), F.ceil(F.ln(F.lit(BEST_SCORE) / worst) / TIME_DECAY) + 1)
-    reach = F.coalesce(reach, F.lit(REACH)).cast("int")
-    settled = F.least(F.col("pos"), reach) <= horizon
-    found = ["user_id", "pos", "problem_id", "h_pos", "h_problem_id", "h_is_correct", "score"]
-
-    def listed(targets: DataFrame) -> DataFrame:
-        each = targets.select("user_id", "pos", "problem_id", F.posexplode("best").alias("_k", "_b"))
-        return each.select("user_id", "pos", "problem_id", (F.col("_k") + 1).alias("rank"), "_b.h_pos", "_b.h_problem_id", "_b.h_is_correct", (-F.col("_b.loss")).alias("score"))
-
-    further = near.filter(~settled)
-    lowest = F.greatest(F.col("pos") - reach, F.lit(0))
-    blocks = F.sequence(F.floor(lowest / OLD_BLOCK), F.floor((F.col("pos") - horizon - 1) / OLD_BLOCK))
-    asking = further.withColumns({"_low": lowest, "_block": blocks}).drop("best").withColumn("_block", F.explode("_block"))
-    old = rows.select("user_id", F.floor(F.col("pos") / OLD_BLOCK).alias("_block"), *[F.col(c).alias(f"h_{c}") for c in _H])
-    pairs = asking.join(old, ["user_id", "_block"]).filter((F.col("h_pos") >= F.col("_low")) & (F.col("h_pos") < F.col("pos") - horizon))
-    deep = _top(listed(further).select(*found).unionByName(_scored(pairs, **flags).select(*found)), ["user_id", "pos"], k)
-    return listed(near.filter(settled)).unionByName(deep.select("user_id", "pos", "problem_id", "rank", *found[3:]))
+    hashed = {"key": F.xxhash64("problem_id"), **{c: F.transform(c, lambda x: F.xxhash64(x)) for c in ("concepts", "neighbors")}}
+    old = materialise(tiled(rows.select("user_id", "pos", "problem_id", "is_correct", "concepts", "level", "neighbors").withColumns(hashed), tile))
+
+    def work(new: Side, old: Side) -> dict[str, np.ndarray | pa.Array]:
+        lag = new.pos[:, None] - old.pos[None, :]
+        score = np.where(lag > 0, _score_matrix(new, old, **flags) * np.exp(-TIME_DECAY * np.maximum(lag, 0)), 0.0)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # logs are in the order of positions
+        t, place = np.nonzero(np.take_along_axis(score, order, axis=1) > 0)
+        h = order[t, place]
+        return {"_t": t, "h_pos": old.pos[h], "h_problem_id": old.taken("problem_id", h), "h_is_correct": old.taken("is_correct", h), "score": score[t, h]}
+
+    def scored(targets: DataFrame) -> DataFrame:
+        return over_runs(meetings(targets, old), work, ["user_id", "pos", "problem_id"], "h_pos long, h_problem_id string, h_is_correct int, score double")
+
+    def at_tiles(targets: DataFrame, first: Column, last: Column) -> DataFrame:
+        return targets.filter(first <= last).select(*targets.columns, F.explode(F.sequence(first, last)).alias("h_tile"))
+
+    targets = old.filter(F.col("pos") > 0).withColumnRenamed("tile", "t_tile")
+    recent = materialise(scored(at_tiles(targets, F.greatest(F.col("t_tile") - 1, F.lit(0)), F.col("t_tile"))))
+    worst = _top(recent.filter(F.col("pos") >= 2 * tile), ["user_id", "pos"], k).filter(F.col("rank") == k).select("user_id", "pos", F.col("score").alias("_worst"))
+    reach = F.least(F.lit(REACH), F.ceil(F.ln(F.lit(BEST_SCORE) / F.col("_worst")) / TIME_DECAY) + 1)
+    oldest = F.floor(F.greatest(F.col("pos") - F.coalesce(reach, F.lit(REACH)), F.lit(0)) / tile)
+    late = targets.filter(F.col("t_tile") > 1).join(worst, ["user_id", "pos"], "left").withColumn("_oldest", oldest)
+    deep = at_tiles(late, F.col("_oldest"), F.col("t_tile") - 2).drop("_worst", "_oldest")
+    names = ["user_id", "pos", "problem_id", "rank", "h_pos", "h_problem_id", "h_is_correct", "score"]
+    return _top(recent.unionByName(scored(deep)), ["user_id", "pos"], k).select(*names)
 
 
 def heuristic_for_targets(rows: DataFrame, targets: DataFrame, k: int = TOP_K, **flags: bool) -> DataFrame:

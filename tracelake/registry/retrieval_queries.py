@@ -66,8 +66,8 @@ def history_retrieval_topk(spark, sf):
 
 @query("history_retrieval_deep", _heuristic_sql("SELECT * FROM inter"))
 def history_retrieval_deep(spark, sf):
-    """The same with a short first look, so that most targets search their whole reach."""
-    return _shape(R.heuristic(profiled(spark, sf), horizon=8))
+    """The same with small tiles, so that most targets search tiles within their reach."""
+    return _shape(R.heuristic(profiled(spark, sf), tile=8))
 
 
 _LAST = "SELECT * FROM inter QUALIFY pos = max(pos) OVER (PARTITION BY user_id)"
