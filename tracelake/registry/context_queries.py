@@ -297,30 +297,30 @@ _PART_VECTOR = "[length({0}), length({0}) - length(replace({0}, 'a', '')), lengt
 
 @query(
     "struct_vectors",
-    f"""WITH {CATALOG} SELECT problem_id, array_to_string(list_transform(list_concat({", ".join(_PART_VECTOR.format(c) for c in ("text", "title", "chapter"))}), lambda x: CAST(x AS BIGINT)), ',') AS vec FROM catalog""",
+    f"""WITH {CATALOG} SELECT problem_id, array_to_string(list_transform(list_concat({", ".join(_PART_VECTOR.format(c) for c in ("text", "title", "chapter", "grade"))}), lambda x: CAST(x AS BIGINT)), ',') AS vec FROM (SELECT *, 'grade ' || level AS grade FROM catalog)""",
 )
 def struct_vectors(spark, sf):
-    """Three text parts of every part row, encoded once per distinct text by a given encoder and joined end to end."""
+    """Four text parts of every part row, encoded once per distinct text by a given encoder and joined end to end."""
 
     def encoder(df):
         left = lambda drop: F.length("text") - F.length(F.replace("text", F.lit(drop)))
         return df.withColumn("vec", F.array(F.length("text"), left("a"), left(" ")).cast("array<double>"))
 
-    parts = D.catalog(spark, sf).select("problem_id", "text", "title", "chapter")
-    out = E.struct_vectors(parts, ["problem_id"], ["text", "title", "chapter"], encoder)
+    parts = D.catalog(spark, sf).select("problem_id", "text", "title", "chapter", F.concat(F.lit("grade "), "level").alias("grade"))
+    out = E.struct_vectors(parts, ["problem_id"], ["text", "title", "chapter", "grade"], encoder)
     return out.select("problem_id", F.array_join(F.col("vec").cast("array<bigint>").cast("array<string>"), ",").alias("vec"))
 
 
 @query(
     "second_score_fusion",
-    f"""WITH {INTER}, {VECS}, p AS (SELECT t.user_id, t.pos, t.problem_id, h.pos AS h_pos, list_inner_product(tv.vec, hv.vec) AS cos FROM inter t JOIN inter h ON t.user_id = h.user_id AND h.pos >= t.pos - 5 AND h.pos < t.pos
+    f"""WITH {INTER}, {VECS}, p AS (SELECT t.user_id, t.pos, t.problem_id, h.pos AS h_pos, list_inner_product(tv.vec, hv.vec) AS cos FROM inter t JOIN inter h ON t.user_id = h.user_id AND h.pos >= t.pos - 20 AND h.pos < t.pos
   JOIN unit tv ON t.problem_id = tv.problem_id JOIN unit hv ON h.problem_id = hv.problem_id)
 SELECT user_id, pos, h_pos, round(1.0 + 0.5 * CASE WHEN h_pos % 2 = 0 THEN 0.25 ELSE cos END, 6) AS u FROM p""",
 )
 def second_score_fusion(spark, sf):
     from tracelake.registry.sequence_queries import featured
 
-    pairs = S.history_similarity(featured(spark, sf), 5, ["pos"]).withColumn("u", F.lit(1.0))
+    pairs = S.history_similarity(featured(spark, sf), 20, ["pos"]).withColumn("u", F.lit(1.0))
     cached = pairs.filter(F.col("h_pos") % 2 == 0).select("user_id", "pos", "problem_id", "h_pos", F.lit(0.25).alias("second_score"))
     out = R.fuse_second_score(pairs, cached=cached)
     return out.select("user_id", *_long("pos", "h_pos"), F.round("u", 6).alias("u"))
