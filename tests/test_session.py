@@ -21,3 +21,16 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout and int(done.stdout.split("ROWS")[1]) > 0, done.stderr[-2000:]
+
+
+def test_recorded_scratch_is_dropped_and_the_rest_stays(spark):
+    from tracelake.session import drop_paths, materialise, recorded_scratch
+
+    before = materialise(spark.range(3))
+    with recorded_scratch() as paths:
+        inner = materialise(spark.range(4))
+        assert inner.count() == 4
+    after = materialise(spark.range(5))
+    assert len(paths) == 1
+    drop_paths(spark, [*paths, *paths])
+    assert not os.path.exists(paths[0].removeprefix("file:")) and (before.count(), after.count()) == (3, 5)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,9 +78,26 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tracelake-{spark.sparkContext.applicationId}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, for :func:`drop_paths`."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path below this application's scratch folder."""
-    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -93,7 +112,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table :func:`materialise` wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_paths(spark, [_scratch_root(spark)])
