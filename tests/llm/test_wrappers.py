@@ -74,3 +74,38 @@ def test_edges(spark):
     got = W.extract(pages.selectExpr("*", "1 AS host", "'w' AS wrapper", "0 AS text")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (2, 0), (2, 0), (3, 2), (4, 10), (5, 999_999)]
     assert W.extract(pages.limit(0)).count() == 0
+
+
+def test_templates_without_a_known_class_are_dropped_by_their_place(spark):
+    words = [f"w{k}" for k in range(200)]
+    story = lambda k: " ".join(words[(k * 7 + j * (k + 1)) % 200] for j in range(30))
+    page = "<body><div>Follow us everywhere</div><div><p>{}</p><p>{}</p></div>{}<div>Copyright <b>us</b></div></body>"
+    tied = "<section>Read our rules</section>"
+    rows = [(k, f"http://a.b/{k}", page.format(story(k), story(k + 50), tied if k % 2 else "")) for k in range(30)]
+    rows += [(100 + k, f"http://few.b/{k}", page.format(story(k), story(k + 50), "")) for k in range(4)]  # too few to tell
+    rows += [(200 + k, f"http://copy.b/{k}", page.format(story(3), story(4), f"<p>{k}</p>")) for k in range(30)]  # copies
+    rows += [(300 + k, f"http://art.b/{k}", f"<article><div>Support us</div><p>{story(k)}</p><p>Shared line</p></article>") for k in range(30)]
+    rows += [(400 + k, f"http://some.b/{k}", f"<p>{story(k)}</p>" + "<p>Shared by many</p>" * (k % 4 > 0)) for k in range(28)]
+    got = {r.page_id: r.text.split("\n") for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(30):
+        assert got[k] == [story(k), story(k + 50)]
+        assert got[200 + k] == ["Follow us everywhere", story(3), story(4), str(k), "Copyright us"]
+        assert got[300 + k][0] == story(k)
+    assert all(got[100 + k] == ["Follow us everywhere", story(k), story(k + 50), "Copyright us"] for k in range(4))
+    assert all(got[400 + k] == [story(k)] + ["Shared by many"] * (k % 4 > 0) for k in range(28))
+
+
+def test_long_attributes_and_deep_blocks():
+    long = "x>" * 5000
+    assert alone(f'<p title="{long}">a</p>b') == "a\nb" and alone(f"<p title='{long}>a</p>") == "x>" * 4999 + ">a"
+    deep = "<div>" * 300 + "<p>a</p><p>b</p>" + "</div>" * 300
+    assert alone(deep) == "a\nb" and alone("<body>" + "<div>" * 300 + "<article>in</article></div>out") == "in"
+    assert alone('<a t="' * 20_000) == "" and alone("<a t='>" + '<b u="' * 20_000 + "x") != None  # noqa: E711
+
+
+def test_groups_fold_up_to_the_longest(monkeypatch):
+    page = W.read("<h1>a</h1><h2>b</h2><h3>c</h3><h4>d</h4><h5>e</h5>" * 3)
+    assert len(W.shape(page)) == 15
+    monkeypatch.setattr(W, "LONGEST_GROUP", 5)
+    assert [(p[0], p[3]) for p in W.shape(page)] == [(f"h{k}", True) for k in range(1, 6)]

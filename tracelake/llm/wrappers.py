@@ -6,13 +6,21 @@ aligned with each other and become one repeated place; two wrappers are aligned
 their labels, and what only one has becomes optional.  Equal wrappers of a host are counted once before the shuffle;
 then groups of about ``GROUP`` wrappers are aligned into one, again and again, until each host has one.
 
-The wrapper's places are judged once: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are not main, by tag, role or words of class and id; of the rest the article is main, or, where no page of the
-host has one, the main part or the body.  A page is matched to its host's wrapper, and the text of main slots is taken.
+Each page is then matched to its host's wrapper, which tells for every block of text the place that holds it.  A block
+is a slot if the pages that have its place differ in it, and part of the template if ``ALWAYS`` of them show the same
+text there; it is the template's at all places of the same labels, as an alignment may choose between them.  Templates
+(menus, notices, rights, of whatever tag or class) are dropped.  For a place to count, pages with
+``LEAST_PAGES`` different texts and ``LEAST_SHARE`` of the host's pages must have it, and if what would be dropped is
+over ``MOST_TEMPLATE`` of the host's text, its pages are copies of each other and nothing is dropped for being equal.
+
+Tags, roles and words of class and id are a prior: headers, sidebars, adverts, forms, scripts, styles and comments that
+they name are never main, also on hosts with too few pages to tell; of the rest the article is main, or, where no page
+of the host has one, the main part or the body.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own (the empty one); broken markup is
-read as far as it goes (unclosed elements end with their parent, a tag cut off at the end is dropped); a page of a host
-with articles that has none gives its body; equal pages give equal texts; nothing is cut short.
+read as far as it goes (unclosed elements end with their parent, a tag cut off at the end is dropped; a quote that stays
+open ends with its tag); a page of a host with articles that has none gives its body; equal pages give equal texts;
+pages may be nested to any depth (places below ``DETAIL`` levels share those of the level); nothing is cut short.
 """
 
 from __future__ import annotations
@@ -20,22 +28,32 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelake.llm.hosts import with_host_and_path
 from tracelake.session import materialise
 
 #: Wrappers aligned in one group of a round, about.
 GROUP = 64
-#: Elements nested deeper than this are read as part of the one that holds them; their text stays.
-DEEPEST = 200
+#: Levels of a wrapper that have places of their own; what is deeper lies side by side at the last one.
+DETAIL = 100
+#: Longest group of neighbours that is folded when it comes twice in a row.
+LONGEST_GROUP = 4
+#: Share of the pages of a place that show one text there, which makes it part of the template.
+ALWAYS = 0.9
+#: Pages of different text, up to 64, and share of the host's pages that a place needs to have template text.
+LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A host whose template would be more of its text than this has copies, not a template.
+MOST_TEMPLATE = 0.5
 TEXT = "#"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,27 +76,25 @@ CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd"
 
 _MARK = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_PART = re.compile(r">|(?<=[= \t\n])[\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_TAG_END = re.compile(r"[\"'>]")
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Where the tag that starts before ``at`` ends: at a > outside quotes, or, if a quote stays open, at the first >."""
-    first, quote = -1, ""
-    for m in _TAG_END.finditer(page, at):
-        c = m.group()
-        if c == ">":
-            if not quote:
-                return m.start()
-            if first < 0:
-                first = m.start()
-        elif not quote and page[m.start() - 1] in "= \t\n":
-            quote = c
-        elif c == quote:
-            quote, first = "", -1
-        if quote and first >= 0 and m.start() - first > 4096:
-            break
-    return first
+    """Where the tag that starts before ``at`` ends: at a > outside quotes, or, if a quote stays open, at the first > in it.
+
+    Quotes open after a space or =.  Each look goes on from where the last one ended, so a page is read once.
+    """
+    while True:
+        mark = _TAG_PART.search(page, at)
+        if not mark:
+            return -1
+        if mark.group() == ">":
+            return mark.start()
+        close = page.find(mark.group()[-1], mark.end())
+        if close < 0:
+            return page.find(">", mark.end())
+        at = close + 1
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -149,7 +165,6 @@ def read(page: str) -> Node:
     """The page's tree."""
     root = Node("", "")
     stack = [root]
-    flat: Counter[str] = Counter()
     for kind, tag, rest in tokens(page):
         if kind == "text":
             if not rest.isspace():
@@ -163,14 +178,9 @@ def read(page: str) -> Node:
                     if depth and stack[depth].tag == open_tag:
                         del stack[depth:]
             node = _element(tag, rest)
-            if len(stack) > DEEPEST and (not node.noise or stack[-1].noise):
-                flat[tag] += tag not in VOID and not rest.endswith("/")
-                continue
             stack[-1].children.append(node)
             if tag not in VOID and not rest.endswith("/"):
                 stack.append(node)
-        elif flat[tag]:
-            flat[tag] -= 1
         else:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if depth:
@@ -216,7 +226,7 @@ def _fold(places: list) -> list:
             out[-1] = [last[0], _align(last[1], place[1]), last[2] and place[2], place[0] != TEXT]
         else:
             out.append(place)
-        for n in (2, 3, 4):
+        for n in range(2, LONGEST_GROUP + 1):
             if len(out) >= 2 * n and [p[0] for p in out[-n:]] == [p[0] for p in out[-2 * n : -n]]:
                 group = [_merge(x, y)[:3] + [True] for x, y in zip(out[-2 * n : -n], out[-n:])]
                 del out[-2 * n :]
@@ -225,9 +235,22 @@ def _fold(places: list) -> list:
     return out
 
 
-def shape(node: Node) -> list:
+def shape(node: Node, level: int = 0) -> list:
     """The wrapper of one page."""
-    return _fold([[c.label, [] if c.noise else shape(c), False, False] for c in node.children if c.label])
+    if level < DETAIL:
+        return _fold([[c.label, [] if c.noise else shape(c, level + 1), False, False] for c in node.children if c.label])
+    labels: list[str] = []
+    stack = [node.children[::-1]]
+    while stack:
+        if not stack[-1]:
+            stack.pop()
+            continue
+        c = stack[-1].pop()
+        if c.label:
+            labels.append(c.label)
+        if not c.noise:
+            stack.append(c.children[::-1])
+    return _fold([[label, [], False, False] for label in dict.fromkeys(labels)])
 
 
 def align_all(wrappers: list[list]) -> list:
@@ -247,47 +270,86 @@ def main_labels(wrapper: list) -> tuple[str, ...]:
 
 
 def _holds(node: Node, labels: tuple[str, ...]) -> bool:
-    return any(c.label in labels or (not c.noise and _holds(c, labels)) for c in node.children)
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if c.label in labels:
+                return True
+            if not c.noise:
+                stack.append(c)
+    return False
 
 
-def main_text(page: str | None, wrapper: list) -> str:
-    """The text of the page's main slots: blocks in order, one a line."""
-    blocks: list[str] = []
+def _number(*parts: object) -> int:
+    """A signed 64-bit number of a place or a block."""
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
+
+
+@dataclass
+class _Open:
+    """An element that is being matched: what is left of it, the places it may match and the block it belongs to."""
+
+    node: Node
+    left: Iterator[Node]
+    places: list
+    within: bool
+    path: tuple[int, int]
+    block: tuple[int, int]
+    at: int = 0
+
+
+def match(page: str | None, wrapper: list) -> list[tuple[int, int, str]]:
+    """The (place, kind, text) blocks of the page's main part in order.
+
+    The kind is the place by its labels alone: places between which an alignment could choose are of one kind.
+    """
+    blocks: list[tuple[int, int, str]] = []
     pieces: list[str] = []
 
-    def flush() -> None:
-        block = " ".join("".join(pieces).split())
+    def flush(block: tuple[int, int]) -> None:
+        text = " ".join("".join(pieces).split())
         pieces.clear()
-        if block:
-            blocks.append(block)
-
-    def walk(nodes: list[Node], places: list, within: bool, labels: tuple[str, ...]) -> None:
-        at = 0
-        for node in nodes:
-            if not node.children and node.tag == "":
-                if within:
-                    pieces.append(html.unescape(node.text))
-                continue
-            # The place of this element: the next of its label, else an earlier one (repeated groups), else none.
-            order = [*range(at, len(places)), *range(at)]
-            at = next((k for k in order if places[k][0] == node.label), at)
-            below = places[at][1] if at < len(places) and places[at][0] == node.label else []
-            if node.tag in BLOCKS:
-                flush()
-            elif node.tag == "br" and within:
-                pieces.append(" ")
-            if not node.noise:
-                walk(node.children, below, within or node.label in labels, labels)
-            if node.tag in BLOCKS:
-                flush()
+        if text:
+            blocks.append((*block, text))
 
     root = read(page or "")
     labels = main_labels(wrapper)
     if not _holds(root, labels):
         labels = ()
-    walk(root.children, wrapper, not labels, labels)
-    flush()
-    return "\n".join(blocks)
+    stack = [_Open(root, iter(root.children), wrapper, not labels, (0, 0), (0, 0))]
+    while stack:
+        top = stack[-1]
+        node = next(top.left, None)
+        if node is None:
+            stack.pop()
+            if top.node.tag in BLOCKS:
+                flush(top.block)
+            continue
+        if not node.tag:
+            if top.within:
+                pieces.append(html.unescape(node.text))
+            continue
+        # The place of this element: the next of its label, else an earlier one (repeated groups), else its holder's.
+        order = [*range(top.at, len(top.places)), *range(top.at)]
+        found = next((k for k in order if top.places[k][0] == node.label), None)
+        path, below = top.path, []
+        if found is not None:
+            top.at, below = found, top.places[found][1]
+            path = _number("place", top.path[0], found), _number("kind", top.path[1], node.label)
+        if node.tag in BLOCKS:
+            flush(top.block)
+        elif node.tag == "br" and top.within:
+            pieces.append(" ")
+        if not node.noise:
+            block = path if node.tag in BLOCKS else top.block
+            stack.append(_Open(node, iter(node.children), below, top.within or node.label in labels, path, block))
+    flush((0, 0))
+    return blocks
+
+
+def main_text(page: str | None, wrapper: list) -> str:
+    """The text of the page's main part: blocks in order, one a line."""
+    return "\n".join(text for _, _, text in match(page, wrapper))
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -312,23 +374,64 @@ def infer(pages: DataFrame) -> DataFrame:
         now = materialise(now.join(counts, "host").withColumn("bucket", bucket).groupBy("host", "bucket").applyInPandas(merged, schema))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
-    rows = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
-    wrapped = rows.join(infer(rows.select("host", "html")), "host")
+_MATCHED = "blocks array<struct<slot: long, text: string>>, slots array<struct<place: long, slot: long, n: long>>, n_chars long, content int"
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """``rows`` (page_id, url, host, html, wrapper) with their blocks, their different slots, their length and a number
+    below 64 of their text, in place of html and wrapper."""
+    kept = ["page_id", "url", "host"]
+    schema = T.StructType([*rows.select(*kept).schema.fields, *T._parse_datatype_string(_MATCHED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        types = to_arrow_schema(schema)
         for batch in batches:
-            texts = []
+            columns: list[list] = [[], [], [], []]
             for page, wrapper in zip(batch.column("html"), batch.column("wrapper").to_pylist()):
                 if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[wrapper] = json.loads(wrapper)
-                texts.append(main_text(page.as_py(), known[wrapper]))
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+                blocks = [(place, kind, _number(kind, text), text) for place, kind, text in match(page.as_py(), known[wrapper])]
+                slots = {(at, slot): len(text) for *where, slot, text in blocks for at in where}
+                slots |= {(at, None): 0 for *where, _, _ in blocks for at in where}
+                columns[0].append([{"slot": slot, "text": text} for *_, slot, text in blocks])
+                columns[1].append([{"place": at, "slot": slot, "n": n} for (at, slot), n in slots.items()])
+                columns[2].append(sum(len(text) for *_, text in blocks))
+                columns[3].append(_number(*(slot for *_, slot, _ in blocks)) % 64)
+            given = [batch.column(c) for c in kept]
+            made = [pa.array(c, types.field(k + len(kept)).type) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*given, *made], types.names)
+
+    return rows.select(*kept, "html", "wrapper").mapInArrow(run, schema)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host`` and ``template``, the slots whose text is the template's, of hosts that have any.
+
+    Texts are counted by host and place with partial sums; a template holds no more slots than a page has, but for ``ALWAYS``.
+    """
+    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_chars").alias("n_chars"))
+    slots = pages.select("host", "content", F.inline("slots"))
+    places = slots.filter(F.col("slot").isNull()).groupBy("host", "place").agg(F.count(F.lit(1)).alias("n_place"))
+    texts = slots.filter(F.col("slot").isNotNull()).groupBy("host", "place", "slot").agg(
+        F.count(F.lit(1)).alias("n_slot"), F.first("n").alias("n"), F.expr("bit_or(shiftleft(1L, content))").alias("contents")
+    )
+    anywhere = Window.partitionBy("host", "slot")  # a text of one kind has a row for each place of the kind
+    texts = texts.filter(F.bit_count("contents") >= LEAST_PAGES).withColumn("n_anywhere", F.max("n_slot").over(anywhere))
+    constant = texts.join(places, ["host", "place"]).filter(F.col("n_slot") >= ALWAYS * F.col("n_place")).join(hosts, "host")
+    constant = constant.filter(F.col("n_place") >= LEAST_SHARE * F.col("n_pages"))
+    constant = constant.groupBy("host", "n_chars", "slot").agg(F.max(F.col("n_anywhere") * F.col("n")).alias("n"))
+    whole = constant.groupBy("host", "n_chars").agg(F.sum("n").alias("n"), F.collect_list("slot").alias("template"))
+    return whole.filter(F.col("n") <= MOST_TEMPLATE * F.col("n_chars")).select("host", "template")
+
 
-    page_id = pages.schema["page_id"].dataType.simpleString()
-    return wrapped.select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {page_id}, url string, text string, n_chars long")
+def extract(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
+    rows = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
+    parts = materialise(matched(rows.join(infer(rows.select("host", "html")), "host")))
+    joined = parts.select("page_id", "url", "host", "blocks").join(templates(parts), "host", "left")
+    main = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["slot"]), F.lit(False)))
+    text = F.array_join(F.transform(main, lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
