@@ -9,15 +9,19 @@ from tracelake.llm.shards import Shard
 
 
 def brute(key, tree):
-    def draw(s):
-        bits = int(hashlib.md5(f"{key}/{s.shard}".encode()).hexdigest()[:13], 16)
-        return -math.log((bits + 0.5) / (1 << 52)) / s.weight
+    at = tree
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for s in at:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0) + s.weight
 
-    least = lambda some: min(map(draw, some))
-    region = min({s.region for s in tree}, key=lambda g: least([s for s in tree if s.region == g]))
-    tree = [s for s in tree if s.region == region]
-    rack = min({s.rack for s in tree}, key=lambda k: least([s for s in tree if s.rack == k]))
-    return min((s for s in tree if s.rack == rack), key=draw).shard
+        def draw(node):
+            bits = int(hashlib.md5(f"{key}/{level}/{node}".encode()).hexdigest()[:13], 16)  # noqa: B023
+            return -math.log((bits + 0.5) / (1 << 52)) / weights[node]  # noqa: B023
+
+        node = min(sorted(weights), key=draw)
+        at = [s for s in at if getattr(s, level) == node]
+    return at[0].shard
 
 
 def test_descent_slots_and_growth(spark):
@@ -27,7 +31,7 @@ def test_descent_slots_and_growth(spark):
     for r in rows:
         text = f"é{r.doc_id % 5}".encode()
         assert (r.size, r.text_crc32) == (len(text) + 1, zlib.crc32(text))
-        assert r.shard == brute(r.doc_id, shards.layout(16)) and r.grown_shard == brute(r.doc_id, shards.layout(17))
+        assert r.shard == brute(r.doc_id, shards.layout(16)) and r.grown_shard == brute(r.doc_id, shards.grown(shards.layout(16)))
         assert r.grown_shard in (r.shard, 16)
     for k in range(16):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
@@ -40,7 +44,9 @@ def test_weights_confine_movement(spark):
     both = shards.assign(shards.assign(rows, F.col("key"), tree), F.col("key"), heavier, "new_").toPandas()
     assert both[["shard", "new_shard"]].iloc[:300].values.tolist() == [[brute(k, tree), brute(k, heavier)] for k in range(300)]
     moved = both[both["shard"] != both["new_shard"]]
-    assert set(moved["new_shard"]) == {4} and len(moved) > 100
+    # At the level where a row's path parts, it goes to the node that got heavier, and never within another subtree.
+    parts = [next((level, new) for level in shards.LEVELS if (new := row[f"new_{level}"]) != row[level]) for _, row in moved.iterrows()]
+    assert set(parts) == {("region", 1), ("rack", 2), ("shard", 4)} and len(moved) > 100
     share = both["shard"].value_counts(normalize=True)
     assert abs(share[3] - 2 / 7) < 0.03 and abs(share[0] - 1 / 7) < 0.03
 
@@ -48,7 +54,7 @@ def test_weights_confine_movement(spark):
 def test_growth_takes_rows_only_into_the_new_shard_at_any_count(spark):
     rows = spark.range(1500).withColumn("key", F.col("id").cast("string"))
     for n in (1, 5, 9, 20):
-        both = shards.assign(shards.assign(rows, F.col("key"), shards.layout(n)), F.col("key"), shards.layout(n + 1), "new_").toPandas()
+        both = shards.assign(shards.assign(rows, F.col("key"), shards.layout(n)), F.col("key"), shards.grown(shards.layout(n)), "new_").toPandas()
         assert set(both.loc[both["shard"] != both["new_shard"], "new_shard"]) == {n}
 
 

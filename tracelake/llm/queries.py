@@ -54,15 +54,27 @@ def simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_digest(table(spark, sf_dir, "documents"))
 
 
-_SHARD_SQL = r"""
-WITH places AS (SELECT range AS shard FROM range(17)),
-draws AS (
-  SELECT d.doc_id, d.text, p.shard,
-         ('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '/' || p.shard), 1, 13))::BIGINT AS bits
-  FROM documents d, places p),
-best AS (
-  SELECT doc_id, arg_max(shard, bits) FILTER (shard < 16) AS shard, arg_max(shard, bits) AS grown_shard
-  FROM draws GROUP BY doc_id),
+def _level_sql(above: str, level: str) -> str:
+    """One level of the descent: the node of the least draw below the node chosen before."""
+    bits = f"('0x' || substr(md5(a.key || '/{level}/' || t.{level}), 1, 13))::BIGINT"
+    nodes = f"SELECT tree, {above} {level}, sum(weight) AS weight FROM shards GROUP BY ALL"
+    return f"""
+  SELECT a.* EXCLUDE (weight), arg_min(t.{level}, (-ln(({bits} + 0.5) / 4503599627370496) / t.weight, t.{level})) AS {level}
+  FROM (SELECT *, 0 AS weight FROM {{}}) a JOIN ({nodes}) t USING (tree{{}}) GROUP BY ALL"""
+
+
+_SHARD_SQL = f"""
+WITH shards AS (
+  SELECT tree, shard, shard // 4 AS rack, shard // 8 AS region, 1.0::DOUBLE AS weight
+  FROM range(17) AS s(shard), (VALUES ('old'), ('new')) AS v(tree) WHERE shard < 16 OR tree = 'new'),
+keys AS (SELECT DISTINCT tree, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents, (VALUES ('old'), ('new')) AS v(tree)),
+in_region AS ({_level_sql("", "region").format("keys", "")}),
+in_rack AS ({_level_sql("region,", "rack").format("in_region", ", region")}),
+in_shard AS ({_level_sql("rack,", "shard").format("in_rack", ", rack")}),
+""" + r"""best AS (
+  SELECT key, min(region) FILTER (tree = 'old') AS region, min(rack) FILTER (tree = 'old') AS rack,
+         min(shard) FILTER (tree = 'old') AS shard, min(shard) FILTER (tree = 'new') AS grown_shard
+  FROM in_shard GROUP BY key),
 shifts AS (
   SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
                           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
@@ -73,11 +85,11 @@ crcs AS (
                                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
   FROM digits, shifts),
 placed AS (
-  SELECT d.doc_id, coalesce(strlen(d.text), 0) + 1 AS size, b.shard, b.grown_shard, c.crc
-  FROM documents d JOIN best b ON d.doc_id = b.doc_id JOIN crcs c ON c.doc_id = d.doc_id)
+  SELECT d.doc_id, coalesce(strlen(d.text), 0) + 1 AS size, b.* EXCLUDE (key), c.crc
+  FROM documents d JOIN best b ON coalesce(CAST(d.doc_id AS VARCHAR), '') = b.key JOIN crcs c ON c.doc_id = d.doc_id)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS BIGINT) AS slot,
-       CAST(grown_shard AS INTEGER) AS grown_shard, CAST(shard // 8 AS INTEGER) AS region, CAST(shard // 4 AS INTEGER) AS rack
+       CAST(grown_shard AS INTEGER) AS grown_shard, CAST(region AS INTEGER) AS region, CAST(rack AS INTEGER) AS rack
 FROM placed"""
 
 

@@ -1,11 +1,13 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-A row draws one exponential number per shard, of rate the shard's weight, from the hash of its key and the shard's
-number.  A rack's draw is the smallest of its shards', a region's the smallest of its racks'; such a minimum is
-exponential with the summed weight as its rate, so each level is a weighted draw by weight of subtree.  A row descends
-to the region of the smallest draw, in it to such a rack, in it to such a shard.  A weight that changes alters the draws
-on its own path only: a row moves only into (or out of) that subtree, and an added shard takes rows only into itself,
-wherever in the tree it is hung.
+A node weighs what its shards weigh together.  A row descends level by level: from its key's hash each child of the node
+it is at draws an exponential number of rate the child's weight, and the row goes to the child of the least draw, so that
+children are chosen by weight.  Only the children of the chosen nodes draw, so the work for a row grows with the depth.
+
+A node's draw depends on its own number and weight alone.  When weights change, rows move only where a weight on their
+path changed: at the first level where a row's old and new place differ, one of the two nodes holds a changed shard, and
+rows of subtrees without a change keep their places among each other.  A shard added by :func:`grown` is a subtree of its
+own, so it takes rows into itself and moves no others.
 
 Edge cases: a null key is hashed as the empty text and so has one shard; rows of equal key share a shard and have slots
 of their own; a null text has no bytes; an empty table gives no rows.  Columns of the input that clash with a result's
@@ -21,6 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import ranged, run_offsets
+from tracelake.session import materialise
+
+
+LEVELS = ("region", "rack", "shard")
 
 
 @dataclass(frozen=True)
@@ -32,41 +38,43 @@ class Shard:
 
 
 def layout(n_shards: int, racks_per_region: int = 2, shards_per_rack: int = 4) -> list[Shard]:
-    """Equal shards, numbered through racks and regions; one more shard leaves all earlier places as they are."""
+    """Equal shards, numbered through racks and regions."""
     per_region = racks_per_region * shards_per_rack
     return [Shard(k // per_region, k // shards_per_rack, k) for k in range(n_shards)]
 
 
-def shard_draw(key: Column, shard: Shard) -> Column:
-    """Exponential draw of a row for a shard, from 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(f"{shard.shard}")).cast("binary"))
+def grown(shards: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
+    """One more shard, in a region and rack of its own."""
+    region, rack, shard = (1 + max(getattr(s, level) for s in shards) for level in LEVELS)
+    return [*shards, Shard(region, rack, shard, weight)]
+
+
+def draw(key: Column, level: str, node: int, weight: float) -> Column:
+    """Exponential draw of a row for a node, from 52 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(level), F.lit(str(node))).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.ln(uniform) / shard.weight
+    return -F.ln(uniform) / weight
 
 
-def _descend(rows: DataFrame, draws: dict[int, Column], into: str) -> DataFrame:
-    """Adds ``into``, the first id with the least draw; a null draw is out of the running."""
-    names = {k: f"_{into}_{k}" for k in draws}
-    rows = rows.withColumns({names[k]: d for k, d in draws.items()})
-    best = F.least(*names.values()) if len(names) > 1 else F.col(*names.values())
-    rows = rows.withColumn("_best", best)
-    choice = F.coalesce(*[F.when(F.col(n) == F.col("_best"), F.lit(k)) for k, n in sorted(names.items())])
-    return rows.withColumn(into, choice).drop("_best", *names.values())
+def _child(key: Column, level: str, shards: Sequence[Shard]) -> Column:
+    """The node of ``level`` with the least draw, the first of equal ones, among those that hold ``shards``."""
+    weights: dict[int, float] = {}
+    for s in shards:
+        weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
+    if len(weights) == 1:
+        return F.lit(*weights)
+    draws = [F.struct(draw(key, level, k, w).alias("draw"), F.lit(k).alias("node")) for k, w in sorted(weights.items())]
+    return F.array_min(F.array(*draws))["node"]
 
 
 def assign(rows: DataFrame, key: Column, shards: Sequence[Shard], prefix: str = "") -> DataFrame:
     """``rows`` with ``region``, ``rack`` and ``shard``, each with ``prefix`` before its name."""
-    region, rack, shard = (f"{prefix}{n}" for n in ("region", "rack", "shard"))
-    draw = {s.shard: F.col(f"_draw_{s.shard}") for s in shards}
-    out = rows.withColumns({f"_draw_{s.shard}": shard_draw(key, s) for s in shards})
-    racks = sorted({(s.region, s.rack) for s in shards})
-    least = {k: [draw[s.shard] for s in shards if s.rack == k] for _, k in racks}
-    out = out.withColumns({f"_least_{k}": F.least(*d) if len(d) > 1 else d[0] for k, d in least.items()})
-    regions = {g: [F.col(f"_least_{k}") for h, k in racks if h == g] for g, _ in racks}
-    out = _descend(out, {g: F.least(*d) if len(d) > 1 else d[0] for g, d in regions.items()}, region)
-    out = _descend(out, {k: F.when(F.col(region) == g, F.col(f"_least_{k}")) for g, k in racks}, rack)
-    out = _descend(out, {s.shard: F.when(F.col(rack) == s.rack, draw[s.shard]) for s in shards}, shard)
-    return out.drop(*[f"_draw_{s.shard}" for s in shards], *[f"_least_{k}" for _, k in racks])
+    rows = rows.withColumn(f"{prefix}region", _child(key, "region", shards))
+    for above, level in zip(LEVELS, LEVELS[1:]):
+        below = {node: [s for s in shards if getattr(s, above) == node] for node in sorted({getattr(s, above) for s in shards})}
+        at = F.col(f"{prefix}{above}")
+        rows = rows.withColumn(f"{prefix}{level}", F.coalesce(*[F.when(at == node, _child(key, level, some)) for node, some in below.items()]))
+    return rows
 
 
 def with_slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -92,7 +100,9 @@ def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_key"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    placed = assign(assign(rows, key, layout(n_shards)), key, layout(n_shards + 1), "grown_")
+    tree = layout(n_shards)
+    # Written before the ranges are cut, so that texts and draws are computed once.
+    placed = materialise(assign(assign(rows, key, tree), key, grown(tree), "grown_"))
     return with_slots(placed, ["_key", "doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack"
     )
