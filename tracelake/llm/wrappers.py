@@ -431,7 +431,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     rows = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
     parts = materialise(matched(rows.join(infer(rows.select("host", "html")), "host")))
-    joined = parts.select("page_id", "url", "host", "blocks").join(templates(parts), "host", "left")
+    # Written first, so that the size of the templates is known when their join with all texts is planned.
+    joined = parts.select("page_id", "url", "host", "blocks").join(materialise(templates(parts)), "host", "left")
     main = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["slot"]), F.lit(False)))
     text = F.array_join(F.transform(main, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
