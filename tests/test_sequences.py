@@ -158,3 +158,16 @@ def test_line_numbers_across_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_onehot_with_vectors_pads_whole_samples(spark):
+    rows = spark.createDataFrame([("a", 0, 1, 1, [0.5, 0.25]), ("a", 1, 2, 0, [1.0, 0.0]), ("a", 2, 0, 0, [0.0, 2.0]), ("b", 0, 2, 1, [3.0, 4.0]), ("b", 1, 1, 0, [5.0, 6.0])], "user_id string, pos int, q int, is_correct int, vec array<double>")
+    got = {(r.user_id, r.sample, r.step): (r.indices, r["values"]) for r in S.onehot_vector(rows, "q", 3, 2, "vec", 2).collect()}
+    assert got == {
+        ("a", 0, 0): ([1, 6, 7], [1.0, 0.5, 0.25]), ("a", 0, 1): ([5, 6, 7], [1.0, 1.0, 0.0]), ("a", 1, 0): ([3, 6, 7], [1.0, 0.0, 2.0]),
+        ("a", 1, 1): ([], []), ("b", 0, 0): ([2, 6, 7], [1.0, 3.0, 4.0]), ("b", 0, 1): ([4, 6, 7], [1.0, 5.0, 6.0]),
+    }
+    assert S.onehot_vector(rows.limit(0), "q", 3, 2, "vec", 2).count() == 0
+    for broken in (F.lit(None).cast("array<double>"), F.array(F.lit(1.0))):
+        with pytest.raises(Exception, match="vector width"):
+            S.onehot_vector(rows.withColumn("vec", broken), "q", 3, 2, "vec", 2).collect()

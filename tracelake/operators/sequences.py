@@ -223,8 +223,8 @@ def pad_batches(samples: DataFrame, batch: str, ids: str, targets: str, eval_mas
     return out.drop("_max")
 
 
-def onehot_sparse(rows: DataFrame, question: str, n_questions: Column | int, max_step: int, correct_first: bool = True) -> DataFrame:
-    """Sparse one-hot rows (user, sample, step, index) of width ``2 n``.
+def onehot_sparse(rows: DataFrame, question: str, n_questions: Column | int, max_step: int, correct_first: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Sparse one-hot rows (user, sample, step, index) of width ``2 n``, with the columns ``keep``.
 
     ``index`` is q for a correct answer and q + n otherwise, or the other way
     round with ``correct_first=False``.  Padding steps have no row.
@@ -236,9 +236,33 @@ def onehot_sparse(rows: DataFrame, question: str, n_questions: Column | int, max
         F.floor(F.col("pos") / max_step).cast("int").alias("sample"),
         (F.col("pos") % max_step).cast("int").alias("step"),
         F.when(first_half, q).otherwise(q + n).cast("int").alias("index"),
+        *keep,
     )
 
 
+def onehot_vector(rows: DataFrame, question: str, n_questions: Column | int, max_step: int, vec: str, dim: int) -> DataFrame:
+    """One-hot rows with a vector behind them, one per step of whole samples of ``max_step`` steps.
+
+    ``size``, ``indices`` and ``values`` are the layout of a sparse vector of width ``2 n + dim``: the one-hot cell, then
+    the ``dim`` components of ``vec``.  Steps after a user's last log pad its last sample; they have no cells.  A vector
+    that is null or of another width is an error, as a step without one would shift all features after it.
+    """
+    n = F.lit(n_questions) if isinstance(n_questions, int) else n_questions
+    hot = onehot_sparse(rows, question, n, max_step, keep=[vec])
+    width = F.when(F.col(vec).isNull(), F.lit(-1)).otherwise(F.size(vec))
+    wrong = F.raise_error(F.concat(F.lit(f"vector width is not {dim} but "), width.cast("string"))).cast("array<float>")
+    checked = F.when(width == dim, F.col(vec).cast("array<float>")).otherwise(wrong)
+    behind = F.slice(F.sequence((2 * n).cast("int"), (2 * n + dim).cast("int")), 1, dim)
+    cells = F.concat(F.array("index"), behind)
+    ones = F.concat(F.array(F.lit(1.0).cast("float")), checked)
+    full = hot.select("user_id", "sample", "step", cells.alias("indices"), ones.alias("values"))
+    last = rows.groupBy("user_id").agg(F.max("pos").alias("_last")).filter((F.col("_last") + 1) % max_step != 0)
+    missing = F.sequence((F.col("_last") % max_step + 1).cast("int"), F.lit(max_step - 1))
+    padding = last.select("user_id", F.floor(F.col("_last") / max_step).cast("int").alias("sample"), F.explode(missing).alias("step"))
+    padding = padding.withColumns({"indices": F.array().cast("array<int>"), "values": F.array().cast("array<float>")})
+    return full.unionByName(padding).withColumn("size", (2 * n + dim).cast("int"))
+
+
 def interaction_code(q: Column, a: Column, n: Column | int, variant: str = "offset") -> Column:
     """Question and answer as one id; ``q`` is 1-based for ``offset``."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -14,8 +14,9 @@ from tracelake.registry.base import CATALOG, INTER, VECS, query
 from tracelake.registry.evidence_queries import RECORDS, SELECTED, SUMMARY, contexts
 from tracelake.registry.graph_queries import HOPS, PAIRS, REACH, stat_edges
 from tracelake.registry.retrieval_queries import NEIGHBORS, _LAST, _heuristic_sql, profiled, stored_neighbors
-from tracelake.session import materialise
+from tracelake.session import materialise, scratch_path
 from tracelake.sources import driver_tables as D
+from tracelake.sources.writers import write_prompt_report
 
 
 def _long(*names):
@@ -196,6 +197,47 @@ def prompts(spark, sf):
     return prompt_rows(spark, sf)
 
 
+def _report_sql() -> str:
+    base = _heuristic_sql(_LAST).rsplit("SELECT user_id", 1)[0]
+    return f"""{base},
+k AS (SELECT user_id, pos, least(count(*), 4) AS n FROM f WHERE score > 0 GROUP BY ALL),
+r AS (SELECT t.user_id, t.pos, least(count(*), 4) AS n FROM targets t JOIN inter h ON t.user_id = h.user_id AND h.pos < t.pos AND h.problem_id <> t.problem_id
+  JOIN catalog c ON c.problem_id = h.problem_id GROUP BY ALL)
+SELECT t.user_id, t.problem_id AS target_problem_id, replace(c.text, ' ', '-') AS target_semantic_id, t.pos AS history_length,
+  CAST(t.is_correct > 0 AS BIGINT) AS ground_truth, CAST(coalesce(r.n, 0) AS BIGINT) AS random_retrieved_count, CAST(coalesce(k.n, 0) AS BIGINT) AS cognitive_retrieved_count,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS random_cards, CAST(coalesce(k.n, 0) AS BIGINT) AS cognitive_cards, true AS same_target
+FROM targets t JOIN catalog c USING (problem_id) LEFT JOIN k USING (user_id, pos) LEFT JOIN r USING (user_id, pos)"""
+
+
+@query("prompt_report", _report_sql())
+def prompt_report(spark, sf):
+    """The report of all last targets, by chance and by the heuristic, read back from its sink."""
+    rows = materialise(profiled(spark, sf))
+    last = S.last_target(rows, ["problem_id", "is_correct"])
+    targets = materialise(last.select("user_id", F.col("target_t").alias("pos"), F.col("target_problem_id").alias("problem_id"), F.col("target_is_correct").alias("is_correct")))
+    named = labels(spark, sf).withColumnRenamed("semantic_id", "label")
+    path = S.recent_trajectory(rows.select("user_id", "pos", "problem_id", "is_correct").join(named, "problem_id"), "label")
+    path = materialise(path.join(targets.select("user_id", "pos"), ["user_id", "pos"], "left_semi").select("user_id", "pos", "trajectory"))
+    shown = cards(spark, sf, C.UNKNOWN_PROMPT_LABEL)
+    outcomes = rows.select("user_id", F.col("pos").alias("h_pos"), F.col("is_correct").alias("h_is_correct"))
+    ways = {
+        "random": R.random_from_history(rows, targets.drop("is_correct"), named).join(outcomes, ["user_id", "h_pos"]),
+        "cognitive": R.heuristic_for_targets(rows, targets),
+    }
+    ways = {name: materialise(found) for name, found in ways.items()}
+    out = C.prompt_report(targets, named, {name: (found, C.prompts(targets, path, found, shown)) for name, found in ways.items()})
+    where = scratch_path(spark)
+    write_prompt_report(out, where)
+    back = spark.read.schema(out.schema).json(f"{where}/json")
+    n_cards = lambda c: (F.regexp_count(c, F.lit("  Result: "))).cast("bigint")
+    target = lambda c: F.substring_index(c, "[TARGET PROBLEM]:", -1)
+    return back.select(
+        "user_id", "target_problem_id", "target_semantic_id", *_long("history_length", "ground_truth", "random_retrieved_count", "cognitive_retrieved_count"),
+        n_cards("prompt_random").alias("random_cards"), n_cards("prompt_cognitive").alias("cognitive_cards"),
+        (target("prompt_random") == target("prompt_cognitive")).alias("same_target"),
+    )
+
+
 # -- context records, summaries and review -----------------------------------
 
 

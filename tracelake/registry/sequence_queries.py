@@ -162,6 +162,31 @@ def onehot_sparse(spark, sf):
     return out.select("user_id", *_long("sample", "step", "index"))
 
 
+@query(
+    "onehot_vector",
+    f"""WITH {INTER}, {VECS}, n AS (SELECT max(p_partkey) + 1 AS n, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM part),
+lens AS (SELECT user_id, max(pos) AS last FROM inter GROUP BY ALL),
+steps AS (SELECT user_id, unnest(range(CAST((last // 50 + 1) * 50 AS BIGINT))) AS pos FROM lens)
+SELECT s.user_id, s.pos // 50 AS sample, s.pos % 50 AS step, CAST(2 * n + dim AS BIGINT) AS size,
+  CAST(CASE WHEN i.pos IS NULL THEN 0 ELSE 1 + dim END AS BIGINT) AS cells,
+  CAST(CASE WHEN i.is_correct = 1 THEN CAST(i.problem_id AS BIGINT) ELSE CAST(i.problem_id AS BIGINT) + n END AS BIGINT) AS hot,
+  CASE WHEN i.pos IS NOT NULL THEN 2 * n + dim - 1 END AS last_index,
+  CAST(CAST(v.raw_vec[1] AS FLOAT) AS DOUBLE) AS first_value, CAST(CAST(v.raw_vec[-1] AS FLOAT) AS DOUBLE) AS last_value
+FROM steps s CROSS JOIN n LEFT JOIN inter i ON s.user_id = i.user_id AND s.pos = i.pos LEFT JOIN vecs v ON v.problem_id = i.problem_id""",
+)
+def onehot_vector(spark, sf):
+    n = D.table(spark, sf, "part").agg(F.max("p_partkey") + 1).scalar()
+    dim = D.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = D.interactions(spark, sf).select("user_id", "pos", "problem_id", F.col("problem_id").cast("int").alias("q"), "is_correct")
+    rows = rows.join(D.item_vectors(spark, sf).select("problem_id", "vec"), "problem_id", "left")
+    out = S.onehot_vector(rows, "q", n, 50, "vec", dim)
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    return out.select(
+        "user_id", *_long("sample", "step", "size"), F.size("indices").cast("bigint").alias("cells"), at("indices", 1).cast("bigint").alias("hot"),
+        at("indices", -1).cast("bigint").alias("last_index"), at("values", 2).cast("double").alias("first_value"), at("values", -1).cast("double").alias("last_value"),
+    )
+
+
 @query(
     "interaction_code",
     f"""WITH {INTER}, n AS (SELECT count(*) AS n FROM part)
