@@ -11,7 +11,7 @@ N-grams are runs of four code points of the lower-cased text in which everything
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text whose n-grams no language knows takes
 the most common learned language with score 0; with nothing learned every text is ``und``; whole texts are used however
-long; equal rows get equal results.
+long; equal rows get equal results; input columns called score or lang_pred are replaced.
 """
 
 from __future__ import annotations

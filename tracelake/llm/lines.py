@@ -12,8 +12,8 @@ texts only where a leaf is shared by documents.
 
 Edge cases: lines of fewer than ``LEAST_TOKENS`` tokens are never dropped; a null text stays null and has no lines; a
 text that loses all lines becomes empty; rows of one doc_id are one document, so that a repeated row drops nothing; null
-doc_ids are one document, ordered last; columns of the input keep their values, and those that start with ``_`` are
-reserved.
+doc_ids are one document, ordered last; columns of the input keep their values, but those that start with ``_`` and
+``n_lines`` and ``n_dropped`` are reserved.
 """
 
 from __future__ import annotations

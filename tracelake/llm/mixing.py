@@ -10,7 +10,8 @@ position.
 Edge cases: a null text has no words; a null source is a source, ordered last; a source without words has target 0 and
 position-less documents; where the copy in which the demand ends is cut, it gives the words up to that end, otherwise
 the copy is whole if its middle lies before the end; rows that are equal in every ordering column are interchangeable;
-an empty table gives no rows.  Input columns starting with ``_`` are reserved.
+an empty table gives no rows.  Input columns starting with ``_`` are reserved, and
+those called size, source_size, target, taken, position or words are replaced.
 """
 
 from __future__ import annotations
