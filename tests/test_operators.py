@@ -332,3 +332,21 @@ def test_graph_payload_and_history_rules(spark):
     assert got == {"payload_invalid": 1, "payload_key_missing": 1, "payload_key_unknown": 1, "candidates_not_a_list": 2, "confidence_invalid": 3}
     history = spark.createDataFrame([(1, 0.5), (2, 0.6)], "epoch int, val_loss double")
     assert all(r.violations == 0 for r in K.fit_history_rules(history).collect())
+
+
+def test_trajectories_of_users_with_a_single_log(spark, tmp_path):
+    import duckdb
+
+    from tracelake.registry import QUERIES, SQL
+
+    source = "/root/testdata/sf0.001"
+    for name in ("orders", "part", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{source}/{name}.parquet")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{source}/lineitem.parquet' WHERE l_linenumber = 1 AND l_orderkey % 4 = 0) TO '{tmp_path}/lineitem.parquet'")
+    for name in ("orders", "part", "embeddings", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(SQL["prompt_trajectories"]).fetchall()
+    users = con.execute("SELECT count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchone()[0]
+    got = [tuple(r) for r in QUERIES["prompt_trajectories"](spark, str(tmp_path)).collect()]
+    assert 0 < len(want) < users and sorted(got) == sorted(want)
