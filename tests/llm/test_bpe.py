@@ -49,3 +49,17 @@ def test_frames(codec, reference, messy, empty):
     for r in bpe.digests(messy, codec, ["doc_id"], with_ids=True).collect():
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
     assert bpe.digests(empty, codec, ["doc_id"]).count() == 0
+
+
+def test_forgetful_codec_encodes_alike(spark):
+    import public_tokenizers
+
+    from tracelake.llm import bpe
+
+    codec = bpe.Codec.of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    before = codec.encode("one two 😀")
+    codec.forget()
+    assert "_seen" not in codec.__dict__ and codec.encode("one two 😀") == before
+    docs = spark.createDataFrame([(1, "one two 😀"), (2, None)], "doc_id long, text string").repartition(2)
+    rows = [sorted(bpe.digests(docs, codec, ["doc_id"], forget=f).collect()) for f in (False, True)]
+    assert rows[0] == rows[1]

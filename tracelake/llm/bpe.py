@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 #: Distinct pre-tokens that a worker keeps with their ids (it starts anew beyond), the longest it keeps, and the
 #: characters of texts that are encoded together.  They bound memory; every token is encoded.
-KEPT, KEPT_CHARS, GROUP_CHARS = 50_000, 40, 250_000
+KEPT, KEPT_CHARS, GROUP_CHARS = 200_000, 40, 250_000
 
 
 def byte_chars() -> list[str]:
@@ -130,6 +130,11 @@ class Codec:
     def digits(self) -> list[str]:
         return [str(i) for i in range(len(self._bytes))]
 
+    def forget(self) -> None:
+        """Drops the processor and what was kept beside it; they are built anew at the next use."""
+        for name in ("_processor", "_bytes", "_seen", "digits"):
+            self.__dict__.pop(name, None)
+
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text, in order.  Texts go in groups of about ``GROUP_CHARS``; a group's new pre-tokens are encoded in one call."""
         group: list[list[str]] = []
@@ -193,8 +198,11 @@ def decode(coded: DataFrame, codec: Codec, column: str = "ids", into: str = "dec
     return coded.mapInArrow(run, T.StructType([*(coded.schema[c] for c in kept), T.StructField(into, T.BinaryType())]))
 
 
-def digests(docs: DataFrame, codec: Codec, keys: list[str], with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes in one pass: ``keys``, n_tokens, SHA-256 of the ids and of the decoded bytes, and the ids if wanted."""
+def digests(docs: DataFrame, codec: Codec, keys: list[str], with_ids: bool = False, forget: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: ``keys``, n_tokens, SHA-256 of the ids and of the decoded bytes, and the ids if wanted.
+
+    With ``forget`` each task drops what its worker kept for the codec, so that it takes no memory from later stages.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
@@ -214,6 +222,8 @@ def digests(docs: DataFrame, codec: Codec, keys: list[str], with_ids: bool = Fal
             if with_ids:
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *columns], [*keys, *(f.name for f in fields)])
+        if forget:
+            shared.value.forget()
 
     rows = docs.select(*dict.fromkeys([*keys, "text"]))
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keys), *fields]))
