@@ -350,3 +350,34 @@ def test_trajectories_of_users_with_a_single_log(spark, tmp_path):
     users = con.execute("SELECT count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchone()[0]
     got = [tuple(r) for r in QUERIES["prompt_trajectories"](spark, str(tmp_path)).collect()]
     assert 0 < len(want) < users and sorted(got) == sorted(want)
+
+
+def test_neighbors_without_shuffled_pairs(spark, monkeypatch):
+    """Ties of all kinds, problems in several parts and runs across batches; pairs are never formed for the shuffle."""
+    import random
+    from collections import defaultdict
+
+    from tracelake.operators import cooccur
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("pairs are shuffled")
+
+    monkeypatch.setattr(cooccur, "pairs_of_sorted", refuse)
+    monkeypatch.setattr(cooccur, "RUN_USERS", 3)
+    rng = random.Random(11)
+    rows = sorted({(f"u{u}", f"p{rng.randrange(30)}") for u in range(40) for _ in range(rng.randrange(1, 9))} | {("alone", "single")})
+    users = defaultdict(set)
+    for u, p in rows:
+        users[p].add(u)
+    want = []
+    for p in users:
+        scored = [(-len(users[p] & users[q]) / len(users[p] | users[q]), q) for q in users if q != p and users[p] & users[q]]
+        want += [(p, r, q, -s) for r, (s, q) in enumerate(sorted(scored)[:5], 1)]
+    logs = spark.createDataFrame([(u, p, n) for n, (u, p) in enumerate(rows)], "user_id string, problem_id string, log_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in cooccur.item_neighbors(logs, ["log_id"]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want)
+    assert cooccur.item_neighbors(logs.limit(0), ["log_id"]).count() == 0
