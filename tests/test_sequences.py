@@ -107,6 +107,42 @@ def test_band_and_distance_match_numpy(spark):
         assert r.dtc == pytest.approx([1 + sum(away[k + 1 :]) for k in range(len(away))])
 
 
+def test_shared_vectors_are_looked_up_after_the_shuffle(spark, monkeypatch):
+    from tracelake.plans import frames
+
+    rng = np.random.default_rng(4)
+    rows = [(u, p, int(rng.integers(0, 6)), int(rng.integers(0, 9)), p % 2) for u, n in (("a", 70), ("b", 3), ("c", 1)) for p in range(n)]
+    logs = spark.createDataFrame(rows, "user_id string, pos int, level int, vec_id long, is_correct int")
+    known = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(8)], "vec_id long, vec array<double>")
+    vectors = S.unit_vectors(known)
+    joined = logs.join(vectors, "vec_id").drop("vec_id")
+    monkeypatch.setattr(S.stack, "sorted_blocks", lambda df, n, **k: frames.sorted_blocks(df, n, block=12, **k))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+
+    def results(rows, **given):
+        band = S.similarity_band(rows, 5, ["pos", "level"], **given).select("user_id", "pos", "history", "band")
+        state = S.attention_state(rows, 5, **given).select("user_id", "pos", "state_vec", "state_lower")
+        signed = S.diagnostic_state(rows, 5, **given).select("user_id", "pos", "e_diag", "vec")
+        return [sorted(map(tuple, df.collect())) for df in (band, state, signed)]
+
+    try:
+        want = results(joined)
+        assert results(logs, vectors=vectors) == want
+        plan = S.attention_state(logs, 5, vectors=vectors)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin [vec_id" in plan
+        monkeypatch.setattr(frames, "VECTOR_BYTES", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert results(logs, vectors=vectors) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by = {(u, p): h for u, p, h, _ in want[0]}
+    mine = {u: sorted((p, lv) for x, p, lv, v, _ in rows if x == u and v < 8) for u in "abc"}
+    for (u, p), h in by.items():
+        # The last five rows of the user that have a vector, oldest first.
+        assert [tuple(x) for x in h] == [x for x in mine[u] if x[0] < p][-5:]
+
+
 def test_full_history_distance(spark):
     rng = np.random.default_rng(2)
     vec = {u: rng.normal(size=(n, 4)) for u, n in (("u", 30), ("v", 1), ("w", 9))}
