@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 REPO = Path(__file__).resolve().parents[1]
 SCRIPT = f"""
 import sys
@@ -34,3 +36,20 @@ def test_recorded_scratch_is_dropped_and_the_rest_stays(spark):
     assert len(paths) == 1
     drop_paths(spark, [*paths, *paths])
     assert not os.path.exists(paths[0].removeprefix("file:")) and (before.count(), after.count()) == (3, 5)
+
+
+def test_unrolled_catalog_is_not_broadcast_by_its_packed_size(spark, tmp_path):
+    from tracelake.registry import QUERIES
+
+    part = spark.range(1_000_000).select(
+        F.col("id").alias("p_partkey"), F.concat_ws(" ", F.lit("red"), F.lit("blue")).alias("p_name"), F.lit("Brand#1").alias("p_brand"),
+        F.lit("SMALL").alias("p_type"), (F.col("id") % 50 + 1).cast("int").alias("p_size"), F.rand(1).alias("p_retailprice"),
+    )
+    part.drop("p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = [(k, [float(k), 1.0], 0) for k in range(10)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    plan = QUERIES["principal_direction_checks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    broadcast = [k for k, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert "Generate explode(concepts" in plan
+    assert not any("Generate explode(concepts" in line for k in broadcast for line in lines[k + 1 : k + 4])
