@@ -207,3 +207,16 @@ def test_onehot_with_vectors_pads_whole_samples(spark):
     for broken in (F.lit(None).cast("array<double>"), F.array(F.lit(1.0))):
         with pytest.raises(Exception, match="vector width"):
             S.onehot_vector(rows.withColumn("vec", broken), "q", 3, 2, "vec", 2).collect()
+
+
+def test_positions_move_rows_once_and_write_what_is_kept(skewed, spark):
+    rows = skewed.unionByName(spark.createDataFrame([(None, 1, "z", "p", 1)], skewed.schema)).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ranks.positions(rows, ["user_id"], ["submit_time", "log_id"], keep=["problem_id", "log_id"])
+        assert got.columns == ["user_id", "log_id", "problem_id", "pos"]
+        assert {(r.user_id, r.log_id): r.pos for r in got.collect()} == expected_positions(skewed.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan

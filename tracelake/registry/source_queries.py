@@ -21,7 +21,7 @@ def _long(*names):
 
 
 def _sequences(spark, sf):
-    rows = D.interactions(spark, sf).select(
+    rows = D.interactions(spark, sf, "problem_id", "exercise_id", "is_correct").select(
         "user_id", "pos", F.col("problem_id").cast("int").alias("p"), F.col("exercise_id").cast("int").alias("q"), F.col("is_correct").alias("a")
     )
     return S.chunk(rows, 200, {"p": None, "q": None, "a": None})
@@ -168,7 +168,7 @@ def run_manifest(spark, sf):
 
 @query("preview_rows", f"WITH {INTER} SELECT user_id, pos, problem_id FROM inter ORDER BY user_id, pos LIMIT 20")
 def preview_rows(spark, sf):
-    return D.interactions(spark, sf).select("user_id", *_long("pos"), "problem_id").orderBy("user_id", "pos").limit(20)
+    return D.interactions(spark, sf, "problem_id").select("user_id", *_long("pos"), "problem_id").orderBy("user_id", "pos").limit(20)
 
 
 # -- text and key functions over whole texts ---------------------------------
@@ -204,7 +204,7 @@ def display_texts(spark, sf):
   sha1('{{"a":"' || problem_id || '","b":' || is_correct || '}}') AS sig, CAST(('0x' || substr(sha256(user_id), 1, 8)) AS BIGINT) % 10 AS bucket FROM inter""",
 )
 def content_keys(spark, sf):
-    return D.interactions(spark, sf).select(
+    return D.interactions(spark, sf, "problem_id", "is_correct").select(
         H.context_key(F.col("user_id"), F.col("pos"), F.col("problem_id")).alias("key"),
         H.signature(a=F.col("problem_id"), b=F.col("is_correct")).alias("sig"), H.hash_bucket(F.col("user_id")).cast("bigint").alias("bucket"),
     )
