@@ -381,3 +381,24 @@ def test_neighbors_without_shuffled_pairs(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got) == sorted(want)
     assert cooccur.item_neighbors(logs.limit(0), ["log_id"]).count() == 0
+
+
+def test_nearest_items_of_shared_vectors_compare_distinct_ones(spark, monkeypatch):
+    from tracelake.operators import directions as D
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 4))
+    rows = [(f"p{i:03d}", base[i % 30].tolist()) for i in range(600)]
+    seen = []
+    materialise = D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df: seen.append(materialise(df)) or seen[-1])
+    found = D.nearest_items(spark.createDataFrame(rows, "problem_id string, vec array<double>"), k=25, block=7).collect()
+    assert min(df.count() for df in seen) == 30
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    got = {}
+    for r in found:
+        got.setdefault(r.problem_id, {})[r["rank"]] = r.neighbor_id
+    for i in (0, 5, 299, 599):
+        order = sorted((-scores[i % 30, j % 30], f"p{j:03d}") for j in range(600) if j != i)
+        assert [got[f"p{i:03d}"][n] for n in range(1, 26)] == [name for _, name in order[:25]]

@@ -91,32 +91,47 @@ def co_usage_vectors(rows: DataFrame, size: int = CO_USAGE_SIZE, window: int = C
     return model.getVectors().select(F.col("word").alias("problem_id"), vector_to_array("vector").alias("vec"))
 
 
-def nearest_items(vectors: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
-    """(problem_id, rank, neighbor_id, score): exact nearest problems by cosine.
+#: Rows of a block that are compared with another block at once.
+NEAREST_ROWS = 128
 
-    Unit vectors are packed into blocks; every pair of blocks is one matrix
-    product that returns only its own top ``k``, so similarities of all pairs
-    never leave a task.
+
+def nearest_items(vectors: DataFrame, k: int = 5, block: int = 16384) -> DataFrame:
+    """(problem_id, rank, neighbor_id, score): exact nearest problems by cosine; ``problem_id`` is unique.
+
+    Problems of equal vectors have the same scores, and of them the first ``k + 1`` by name stand for all.  So distinct
+    unit vectors are packed into blocks; every pair of blocks is a matrix product, taken a few rows at a time, that
+    returns only its own top ``k + 1``, so similarities of all pairs never leave a task.  A problem takes its vector's list
+    without itself.  The work grows with the square of the distinct vectors, not of the problems.
     """
     unit = materialise(vectors.select("problem_id", V.normalise(F.col("vec")).alias("vec")))
-    blocks = max(-(-unit.count() // block), 1)
-    home = F.pmod(F.xxhash64("problem_id"), F.lit(blocks))
-    left = unit.withColumn("lb", home).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    right = unit.withColumn("rb", home).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    distinct = materialise(unit.select("vec").distinct().withColumn("_g", F.monotonically_increasing_id()))
+    members = materialise(unit.join(distinct, "vec").select("problem_id", "_g"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("problem_id"))
+    heads = members.withColumn("_k", place).filter(F.col("_k") <= k + 1).groupBy("_g").agg(F.collect_list("problem_id").alias("names"))
+    blocks = max(-(-distinct.count() // block), 1)
+    home, every = F.pmod(F.xxhash64("_g"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    left = distinct.select(F.col("_g").alias("own"), F.col("vec").alias("mine"), home.alias("lb"), every.alias("rb"))
+    right = distinct.join(heads, "_g").withColumn("rb", home).withColumn("lb", every)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"problem_id": [], "neighbor_id": [], "score": []})
-        names = b["problem_id"].to_numpy()
-        scores = np.round(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, 9)
-        least = np.partition(scores, -min(k + 1, len(names)), axis=1)[:, -min(k + 1, len(names))]
+            return pd.DataFrame({"_g": [], "neighbor_id": [], "score": []})
+        names, others = b["names"].to_numpy(), np.stack(b["vec"].to_numpy()).T
+        own, mine = a["own"].to_numpy(), np.stack(a["mine"].to_numpy())
+        top = min(k + 1, len(names))
         out = []
-        for p, row, low in zip(a["problem_id"], scores, least):
-            near = np.nonzero(row >= low)[0]
-            order = near[np.lexsort((names[near], -row[near]))][: k + 1]
-            out += [(p, names[j], row[j]) for j in order if names[j] != p][:k]
-        return pd.DataFrame(out, columns=["problem_id", "neighbor_id", "score"])
-
-    tops = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(best, "problem_id string, neighbor_id string, score double")
-    rank = F.row_number().over(Window.partitionBy("problem_id").orderBy(F.desc("score"), "neighbor_id"))
-    return tops.withColumn("rank", rank).filter(F.col("rank") <= k)
+        for at in range(0, len(own), NEAREST_ROWS):
+            scores = np.round(mine[at : at + NEAREST_ROWS] @ others, 9)
+            least = np.partition(scores, -top, axis=1)[:, -top]
+            for g, row, low in zip(own[at : at + NEAREST_ROWS], scores, least):
+                near = sorted((-row[j], name) for j in np.nonzero(row >= low)[0] for name in names[j])
+                out += [(g, name, -score) for score, name in near[: k + 1]]
+        return pd.DataFrame(out, columns=["_g", "neighbor_id", "score"])
+
+    tops = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(best, "_g long, neighbor_id string, score double")
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("score"), "neighbor_id"))
+    item = F.struct("_k", "neighbor_id", "score")
+    lists = tops.withColumn("_k", rank).filter(F.col("_k") <= k + 1).groupBy("_g").agg(F.sort_array(F.collect_list(item)).alias("_l"))
+    others = F.slice(F.filter("_l", lambda x: x["neighbor_id"] != F.col("problem_id")), 1, k)
+    each = members.join(lists, "_g").select("problem_id", F.posexplode(others).alias("_at", "_n"))
+    return each.select("problem_id", "_n.neighbor_id", "_n.score", (F.col("_at") + 1).alias("rank"))
