@@ -402,3 +402,23 @@ def test_nearest_items_of_shared_vectors_compare_distinct_ones(spark, monkeypatc
     for i in (0, 5, 299, 599):
         order = sorted((-scores[i % 30, j % 30], f"p{j:03d}") for j in range(600) if j != i)
         assert [got[f"p{i:03d}"][n] for n in range(1, 26)] == [name for _, name in order[:25]]
+
+
+def test_sets_looked_up_behind_the_shuffle_choose_the_same(spark):
+    from tracelake.operators import evidence as E
+    from tracelake.operators.recent import shared_sets
+
+    rng = np.random.default_rng(5)
+    pick = lambda n: [f"c{j}" for j in rng.choice(8, n, replace=False)]
+    kinds = [(pick(3), pick(2), None if i == 0 else pick(1), pick(4)) for i in range(4)]
+    profile = [(f"p{i}", int(i % 3), i % 5, [f"p{(i + 1) % 20}", f"p{(i + 7) % 20}"], *kinds[i % 4]) for i in range(20)]
+    names = "problem_id string, level int, vec_id int, neighbors array<string>, concepts array<string>, pre_sources array<string>, near_sources array<string>, nodes array<string>"
+    profile = spark.createDataFrame(profile, names)
+    logs = [(f"u{u}", k, f"p{rng.integers(20)}", int(rng.integers(2))) for u in range(3) for k in range(25)]
+    logs = spark.createDataFrame(logs, "user_id string, pos int, problem_id string, is_correct int")
+    vectors = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(5, 4)))], "vec_id int, vec array<double>")
+    items, sets = shared_sets(profile)
+    assert sets.count() == 4 and "concepts" not in items.columns
+    for run in (E.select, E.stage1):
+        plain = run(logs.join(profile, "problem_id"), vectors=vectors, n=6).orderBy("user_id", "pos").collect()
+        assert plain == run(logs.join(items, "problem_id"), vectors=vectors, sets=sets, n=6).orderBy("user_id", "pos").collect()
