@@ -422,3 +422,13 @@ def test_sets_looked_up_behind_the_shuffle_choose_the_same(spark):
     for run in (E.select, E.stage1):
         plain = run(logs.join(profile, "problem_id"), vectors=vectors, n=6).orderBy("user_id", "pos").collect()
         assert plain == run(logs.join(items, "problem_id"), vectors=vectors, sets=sets, n=6).orderBy("user_id", "pos").collect()
+
+
+def test_a_tile_meets_itself_in_one_copy_of_its_rows(spark):
+    from tracelake.operators.full_history import meetings, tiled
+
+    rows = tiled(spark.createDataFrame([("u", k, [k]) for k in range(8)], "user_id string, pos int, x array<int>"), 4)
+    targets = rows.withColumnRenamed("tile", "t_tile").selectExpr("*", "explode(sequence(greatest(t_tile - 1, 0), t_tile)) as h_tile")
+    met = meetings(targets, rows, own=True, target_only=("x",)).collect()
+    assert len(met) == 4 + 4 + 4 + 4  # tile 0 alone, tile 1 alone, tile 1 behind tile 0
+    assert all((r.x is None) == (not r.target) for r in met)
