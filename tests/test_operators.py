@@ -432,3 +432,12 @@ def test_a_tile_meets_itself_in_one_copy_of_its_rows(spark):
     met = meetings(targets, rows, own=True, target_only=("x",)).collect()
     assert len(met) == 4 + 4 + 4 + 4  # tile 0 alone, tile 1 alone, tile 1 behind tile 0
     assert all((r.x is None) == (not r.target) for r in met)
+
+
+def test_steps_of_numbers_go_back(spark):
+    from tracelake.operators.cooccur import _numbers, _steps
+
+    lists = [[0, 1, 40_000, 40_001, 32_768 + 40_001, 1 << 29], [], [(1 << 30) - 1], [32_767], [32_768, 65_536]]
+    df = spark.createDataFrame([(x,) for x in lists], "ids array<int>").coalesce(1)
+    row, value = _numbers(df.select(_steps(F.col("ids")).alias("s")).toArrow().column("s").combine_chunks())
+    assert [value[row == k].tolist() for k in range(len(lists))] == lists
