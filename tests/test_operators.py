@@ -441,3 +441,11 @@ def test_steps_of_numbers_go_back(spark):
     df = spark.createDataFrame([(x,) for x in lists], "ids array<int>").coalesce(1)
     row, value = _numbers(df.select(_steps(F.col("ids")).alias("s")).toArrow().column("s").combine_chunks())
     assert [value[row == k].tolist() for k in range(len(lists))] == lists
+
+
+def test_shared_context_vectors_are_looked_up_last(spark):
+    rows = spark.createDataFrame([("u", 0, "p"), ("u", 1, "p"), ("u", 2, "q")], "user_id string, pos int, problem_id string")
+    ids = spark.createDataFrame([("u", 0, "p", 1), ("u", 1, "p", 1), ("u", 2, "q", 7)], "user_id string, target_t int, target_pid string, vec_id int")
+    shared = spark.createDataFrame([(1, [2.0])], "vec_id int, vec array<double>")
+    got = C.context_for_logs(rows, ids, F.array(F.lit(0.0)), shared=shared).collect()
+    assert {r.pos: r.context for r in got} == {0: [0.0], 1: [2.0], 2: [0.0]}
