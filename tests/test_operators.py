@@ -449,3 +449,24 @@ def test_shared_context_vectors_are_looked_up_last(spark):
     shared = spark.createDataFrame([(1, [2.0])], "vec_id int, vec array<double>")
     got = C.context_for_logs(rows, ids, F.array(F.lit(0.0)), shared=shared).collect()
     assert {r.pos: r.context for r in got} == {0: [0.0], 1: [2.0], 2: [0.0]}
+
+
+def test_states_and_co_vectors_made_in_the_scoring_pass(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tracelake.operators import evidence as E
+    from tracelake.operators import sequences as S
+
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(k, [float(x) for x in v / np.linalg.norm(v)]) for k, v in enumerate(rng.normal(size=(6, 3)))], "vec_id long, vec array<double>")
+    table = table.withColumn("co_vec", F.transform("vec", lambda x: F.abs(x)))
+    logs = [(u, i, f"p{k}", int(rng.integers(2)), int(k % 3), k, [f"c{k % 2}"], [], [], [], []) for u, n in (("a", 25), ("b", 3)) for i in range(n) for k in [int(rng.integers(6))]]
+    sets = ", ".join(f"{c} array<string>" for c in ("concepts", "pre_sources", "near_sources", "neighbors", "nodes"))
+    rows = spark.createDataFrame(logs, f"user_id string, pos long, problem_id string, is_correct int, level int, vec_id long, {sets}")
+    wide = rows.join(table, "vec_id")
+    states = S.diagnostic_state(wide.select("user_id", "pos", "is_correct", "vec")).select("user_id", "pos", "e_diag")
+    model = ((0.5, -1.0, 2.0), 0.1)
+    shape = lambda df: sorted((r.user_id, r.pos, [(c.pos, round(c.r, 9), round(c.pre, 9), round(c.collab, 9)) for c in r.candidates]) for r in df.collect())
+    made = shape(E.stage1(rows, diagnosis=model, vectors=table))
+    assert made == shape(E.stage1(wide.join(states, ["user_id", "pos"]), diagnosis=model)) and len(made) == 28
