@@ -470,3 +470,18 @@ def test_states_and_co_vectors_made_in_the_scoring_pass(spark):
     shape = lambda df: sorted((r.user_id, r.pos, [(c.pos, round(c.r, 9), round(c.pre, 9), round(c.collab, 9)) for c in r.candidates]) for r in df.collect())
     made = shape(E.stage1(rows, diagnosis=model, vectors=table))
     assert made == shape(E.stage1(wide.join(states, ["user_id", "pos"]), diagnosis=model)) and len(made) == 28
+
+
+def test_the_diagnosis_fit_makes_its_states_once(spark):
+    from tracelake.operators import diagnostic as G
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("u", i, i % 2, [1.0, float(i % 3)], [float(i % 2), 0.5]) for i in range(40)], "user_id string, pos long, is_correct int, vec array<double>, e_diag array<double>")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    weights, _ = G.fit_diagnostic(rows.mapInArrow(counted, rows.schema), logs=rows)
+    assert len(weights) == 2 and seen.value == 40
