@@ -485,3 +485,22 @@ def test_the_diagnosis_fit_makes_its_states_once(spark):
 
     weights, _ = G.fit_diagnostic(rows.mapInArrow(counted, rows.schema), logs=rows)
     assert len(weights) == 2 and seen.value == 40
+
+
+def test_kinds_of_files_are_told_by_spark(spark, tmp_path):
+    from tracelake.sources import readers as R
+
+    folder = tmp_path / "a b%20c"
+    (folder / "k=1").mkdir(parents=True)
+    texts = {
+        "lines.json": '\n  {"user_id": "u"}\n{"user_id": "v"}\n', "array.json": '\n[{"user_id": "w"},\n{"user_id": "x"}]', "pretty.json": '{ \n"data": []}',
+        "one.json": '{"data": []}', "bom.json": "﻿[]", "long.json": '{"user_id": "' + "y" * (1 << 16) + '"}', "empty.json": " \n\n", "_hidden.json": "[]", "k=1/inside.json": "[]",
+    }
+    for name, text in texts.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    kinds = R._files_by_kind(spark, str(folder))
+    told = {kind: sorted(p.rsplit("/", 1)[1] for p in names) for kind, names in kinds.items()}
+    assert told == {True: ["array.json", "bom.json", "pretty.json"], False: ["lines.json", "long.json", "one.json"]}
+    assert R._files_by_kind(spark, str(folder / "array.json"))[True] == [str(folder / "array.json")]
+    users = {r.user_id for r in R.read_json_any(spark, str(folder), R.SEQUENCE_SCHEMA).filter("user_id is not null").collect()}
+    assert users == {"u", "v", "w", "x", "y" * (1 << 16)}
