@@ -504,3 +504,21 @@ def test_kinds_of_files_are_told_by_spark(spark, tmp_path):
     assert R._files_by_kind(spark, str(folder / "array.json"))[True] == [str(folder / "array.json")]
     users = {r.user_id for r in R.read_json_any(spark, str(folder), R.SEQUENCE_SCHEMA).filter("user_id is not null").collect()}
     assert users == {"u", "v", "w", "x", "y" * (1 << 16)}
+
+
+def test_hashes_that_order_keys_are_not_written(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tracelake.functions.keys import hash_order
+    from tracelake.operators import split as P
+    from tracelake.plans import ranks
+
+    written, write = [], ranks.materialise
+    monkeypatch.setattr(ranks, "materialise", lambda df: written.append(df.columns) or write(df))
+    keys = spark.createDataFrame([(f"u{i % 7}", f"l{i}") for i in range(300)], "user_id string, log_id string")
+    got = {(r.user_id, r.log_id): r["rank"] for r in P.hashed_rank(keys, ["user_id", "log_id"]).collect()}
+    names = keys.withColumn("h", hash_order(P.SEED, F.col("user_id"), F.col("log_id"))).collect()
+    assert got == {(r.user_id, r.log_id): k for k, r in enumerate(sorted(names, key=lambda r: r.h))}
+    assert written and "_h" not in written[0] and len(names[0].h) == 2 * hashlib.sha256().digest_size
